@@ -1,6 +1,11 @@
 """Operators for training-data pipelines, and the queries that apply them to whole tables."""
 
+from tapeline.llm.bpe import op6_bpe
+from tapeline.llm.huffman import op4_huffman
 from tapeline.llm.minhash import op2_minhash
+from tapeline.llm.packing import op7_packing
+from tapeline.llm.quality import op5_quality
+from tapeline.llm.toxicity import op10_toxicity
 
-QUERIES = {"op2_minhash": op2_minhash}
+QUERIES = {f.__name__: f for f in (op2_minhash, op4_huffman, op5_quality, op6_bpe, op7_packing, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
