@@ -232,6 +232,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", owner.alias("component_id"), F.coalesce(owner == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def kept_only(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, unchanged.
+
+    Most rows are passed without a shuffle: only those whose doc_id falls on a bit that a dropped
+    one has set (a table of 2 MB at most, whatever the number of rows) are joined exactly.
+    """
+    dropped = staged(near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct(), "dropped")
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(idfilter.BITS))
+    bits = dropped.select(F.floor(bit / 64).alias("_at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {idfilter.BITS}) % 64 as int))").alias("_bit"))
+    bits = F.broadcast(bits.groupBy("_at").agg(F.expr("bit_or(_bit)").alias("_bits")))
+    marked = docs.join(bits, F.floor(bit / 64) == F.col("_at"), "left")
+    doubt = F.expr(f"coalesce(getbit(_bits, cast(pmod(xxhash64(cast(doc_id as bigint)), {idfilter.BITS}) % 64 as int)) = 1, false)")
+    sure = marked.filter(~doubt).select(*docs.columns)
+    unsure = marked.filter(doubt).select(*docs.columns)
+    gone = dropped.select(F.col("doc_id").alias("_gone"))
+    return sure.unionByName(unsure.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: links at a similarity of 0.85 over all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
