@@ -1 +1,6 @@
-"""Plans of the tick analytics engine."""
+"""Queries of the tick analytics engine over the driver's tables."""
+
+from tapeline.plans import market  # noqa: F401
+from tapeline.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
