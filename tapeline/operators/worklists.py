@@ -159,7 +159,8 @@ def identity_buckets(eras: DataFrame, evidence: DataFrame, before: int = 45, aft
     ``evidence`` has ticker, cik and filing_date (date).
     """
     lo, hi = F.date_sub(F.to_date("first_day", "yyyyMMdd"), before), F.date_add(F.to_date("last_day", "yyyyMMdd"), after)
-    joined = eras.join(evidence, (eras["symbol"] == evidence["ticker"]) & F.col("filing_date").between(lo, hi), "left")
+    spans = eras.select("symbol_era_id", "symbol", lo.alias("_lo"), hi.alias("_hi"))
+    joined = spans.join(evidence, (F.col("symbol") == F.col("ticker")) & F.col("filing_date").between(F.col("_lo"), F.col("_hi")), "left")
     out = joined.groupBy("symbol_era_id").agg(F.count("ticker").alias("evidence"), F.count_distinct("cik").alias("ciks"), F.min("cik").alias("_cik"))
     bucket = F.when(F.col("ciks") > 1, "identity_collision_hold").when(F.col("ciks") == 1, "identity_verified_ready").when(F.col("evidence") == 0, "identity_no_evidence").otherwise("identity_weak_hold")
     return out.withColumns({"identity_bucket": bucket, "identity_cik": F.when(F.col("ciks") == 1, F.col("_cik"))}).drop("_cik")
