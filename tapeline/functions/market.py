@@ -53,7 +53,7 @@ def session(local: Column) -> Column:
 
 def utc_time(nanoseconds: Column) -> Column:
     """Timestamp of a count of nanoseconds, cut to microseconds."""
-    return F.timestamp_micros(F.floor(nanoseconds / 1000).cast("long"))
+    return F.timestamp_micros(F.call_function("div", nanoseconds, F.lit(1000)))
 
 
 def not_odd_lot(condition: Column) -> Column:
