@@ -7,6 +7,7 @@ function of a word alone is computed once per distinct word of a chunk and gathe
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,11 +114,17 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one occurrence of each distinct hash, and for each hash its number among them."""
-    order = np.argsort(hashes, kind="stable")
+    """Index of some occurrence of each distinct hash, and for each hash its number among them."""
+    low = np.uint64((1 << max(1, len(hashes)).bit_length()) - 1)
+    packed = np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64))  # far faster than an argsort
+    order = (packed & low).astype(np.int64)
     ordered = hashes[order]
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
+    if (new[1:] & (packed[1:] & ~low == packed[:-1] & ~low)).any():  # hashes that differ in their low bits only
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+        new[1:] = ordered[1:] != ordered[:-1]
     inverse = np.empty(len(ordered), np.int64)
     inverse[order] = np.cumsum(new) - 1
     return order[new], inverse
@@ -136,6 +143,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system; a worker lives on through later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """The bytes of each span."""
     raw = data.tobytes()

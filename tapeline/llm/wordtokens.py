@@ -1,7 +1,10 @@
 """Token ids of whole texts by a public BPE tokenizer that drops white space.
 
-Such a tokenizer never joins what ASCII white space separates, so the library encodes each
-distinct run of other characters of a chunk once and the ids are gathered back per text.
+Such a tokenizer never joins what ASCII white space separates, nor letters with digits or
+signs, and it lowers letters first. So words are cut where these kinds meet, the library
+encodes each distinct run of a chunk once, and the ids are gathered back per text. Words with an
+apostrophe (contractions), an angle bracket (special tokens) or characters beyond Latin-1's
+letters are left whole, as they are.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from tapeline.llm import textbytes
 
 #: Runs whose ids a worker keeps between chunks; beyond it they are encoded again.
-KEPT = 300_000
+KEPT = 500_000
 #: Longer runs aren't kept.
 SHORT = 64
 
@@ -57,13 +60,46 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[48:58] = 2
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
+_WHOLE = np.zeros(256, bool)
+_WHOLE[[39, 60]] = True
+_WHOLE[192:] = True
+_WHOLE[195] = False  # leads U+00C0 to U+00FF
+_SIGN = np.zeros(256, bool)
+_SIGN[[0x97, 0xB7]] = True  # there, the signs for multiplication and division
+
+
+def _runs(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lowered bytes, run starts and ends, and the first run of each row."""
+    starts, ends, _ = textbytes.words(part, offsets)
+    if not len(starts):
+        return part, starts, ends, np.zeros(len(offsets), np.int64)
+    odd = _WHOLE[part]
+    odd[1:] |= _SIGN[part[1:]] & (part[:-1] == 195)
+    at = np.flatnonzero(odd)
+    plain = np.searchsorted(at, starts) == np.searchsorted(at, ends)
+    free = np.zeros(len(part), bool)
+    inside = ~textbytes.SPACE[part]
+    free[inside] = np.repeat(plain, ends - starts)
+    kind = _CLASS[part]
+    begin = np.zeros(len(part), bool)
+    begin[1:] = (kind[1:] != kind[:-1]) & free[1:]
+    begin[starts] = True
+    cut = np.flatnonzero(begin)
+    word = np.cumsum(np.bincount(np.searchsorted(cut, starts), minlength=len(cut))) - 1
+    stop = np.minimum(np.append(cut[1:], len(part)), ends[word])
+    return np.where(free, textbytes.LOWER[part], part), cut, stop, np.searchsorted(cut, offsets)
+
+
 def encoded(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, end row, ids, offsets of each row's ids); ``end_id`` closes every row."""
     encoder = _encoder(path)
     data, offsets = textbytes.flat(column)
-    for i, j in textbytes.chunks(offsets):
+    for i, j in textbytes.chunks(offsets, 1 << 22):
         part = data[offsets[i] : offsets[j]]
-        starts, ends, first = textbytes.words(part, offsets[i : j + 1] - offsets[i])
+        part, starts, ends, first = _runs(part, offsets[i : j + 1] - offsets[i])
         one, which = textbytes.distinct(textbytes.span_hash(part, starts, ends))
         runs = encoder.runs(textbytes.pieces(part, starts[one], ends[one]))
         table = np.frombuffer(b"".join(runs), "<u4")
