@@ -109,3 +109,26 @@ def corroborated(facts: DataFrame, names_by_era: DataFrame, normal) -> DataFrame
     ).otherwise("uncorroborated")
     state = F.when(F.endswith(label, F.lit("_agree")), "corroborated").otherwise("openfigi_asserted")
     return rows.withColumns({"corroboration": label, "verification_state": state, "contested": F.endswith(label, F.lit("_conflict"))}).drop("catalog_name", "registry_name")
+
+
+def migrated(rows: DataFrame, mapping: DataFrame, must_survive: bool) -> DataFrame:
+    """Older rows as facts under their era's new id.
+
+    Rows of eras that are gone are dropped, or, where they are verified by hand and
+    ``must_survive``, an error. A status that ends in ``_lead`` makes a candidate only.
+    """
+    known = mapping.select(F.col("old_era_id").alias("symbol_era_id"), "new_era_id")
+    joined = rows.join(known, "symbol_era_id", "left")
+    if must_survive:
+        gone = F.raise_error(F.concat(F.lit("verified override on vanished era: "), F.col("symbol_era_id"))).cast("string")
+        joined = joined.withColumn("new_era_id", F.coalesce("new_era_id", gone))
+    kept = joined.filter("new_era_id is not null").withColumn("symbol_era_id", F.col("new_era_id")).drop("new_era_id")
+    return kept.withColumn("verification_state", F.when(F.col("status").endswith("_lead"), "event_candidate").otherwise("verified"))
+
+
+def check_cohort(rows: DataFrame, columns: list[str], stored: tuple[int, int] | None) -> tuple[int, int]:
+    """Size and hash of a cohort; raises if one was stored and differs."""
+    now = tuple(cohort_hash(rows, columns).first())
+    if stored is not None and tuple(stored) != now:
+        raise ValueError(f"the cohort has changed: {stored} was stored, {now} is here")
+    return now

@@ -164,3 +164,53 @@ def identity_buckets(eras: DataFrame, evidence: DataFrame, before: int = 45, aft
     out = joined.groupBy("symbol_era_id").agg(F.count("ticker").alias("evidence"), F.count_distinct("cik").alias("ciks"), F.min("cik").alias("_cik"))
     bucket = F.when(F.col("ciks") > 1, "identity_collision_hold").when(F.col("ciks") == 1, "identity_verified_ready").when(F.col("evidence") == 0, "identity_no_evidence").otherwise("identity_weak_hold")
     return out.withColumns({"identity_bucket": bucket, "identity_cik": F.when(F.col("ciks") == 1, F.col("_cik"))}).drop("_cik")
+
+
+def ledger_candidates(plan: DataFrame, resolver: str = "low_materiality_v1") -> DataFrame:
+    """Rows of the low-materiality bucket as ledger rows, filled alike and for a dry run."""
+    reason = F.format_string("trade_rows=%s; observed_days=%s; no current evidence", F.col("trade_rows").cast("string"), F.col("observed_days").cast("string"))
+    rows = plan.filter("workplan_bucket = 'low_materiality_bulk_disposition'")
+    return rows.select("symbol", "symbol_era_id", F.lit("terminal_disposition").alias("resolution_status"), F.lit("low_materiality").alias("resolution_category"), reason.alias("source_note"), F.lit(resolver).alias("resolver")).dropDuplicates(["symbol_era_id"])
+
+
+def template(rows: DataFrame, preferred: list[str], to_fill: list[str]) -> DataFrame:
+    """The preferred columns that a table has, and empty text columns to be filled by hand."""
+    have = [c for c in preferred if c in rows.columns]
+    return rows.select(*have, *[F.lit(None).cast("string").alias(c) for c in to_fill if c not in have])
+
+
+def attach(plan: DataFrame, extra: DataFrame, defaults: dict) -> DataFrame:
+    """A worklist with another table's columns by era, and defaults where that has none."""
+    return plan.join(extra, "symbol_era_id", "left").fillna(defaults)
+
+
+def parent_links(derived: DataFrame, roots: DataFrame) -> DataFrame:
+    """Derived securities with the best row of the symbol that theirs points to.
+
+    ``roots`` has symbol, symbol_era_id, evidence_score and url; the best has the greatest score, of
+    equals the least url.
+    """
+    order = Window.partitionBy("symbol").orderBy(F.desc("evidence_score"), "url", "symbol_era_id")
+    best = roots.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    best = best.select(F.col("symbol").alias("parent_symbol"), F.col("symbol_era_id").alias("parent_era_id"), F.col("evidence_score").alias("parent_score"))
+    return derived.withColumn("parent_symbol", classify.parent_root(F.col("symbol"))).join(best, "parent_symbol")
+
+
+def sector_table(eras: DataFrame, ciks: DataFrame, sic: DataFrame, classes: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Eras with registrant, SIC code and division, instrument class, coverage and continuity.
+
+    ``ciks`` has symbol_era_id and resolved_cik, ``sic`` cik and sic, ``classes`` symbol_era_id and
+    stable_openfigi_class, ``tickers`` cik and current_tickers (array).
+    """
+    out = eras.join(ciks, "symbol_era_id", "left")
+    out = out.join(sic.withColumnRenamed("cik", "resolved_cik"), "resolved_cik", "left").join(classes, "symbol_era_id", "left")
+    out = out.join(tickers.withColumnRenamed("cik", "resolved_cik"), "resolved_cik", "left")
+    out = out.withColumn("instrument_class", F.coalesce("identity_instrument", "stable_openfigi_class"))
+    return out.withColumns(
+        {
+            "sector_code": classify.sic_division(F.col("sic"), 0),
+            "sector_name": classify.sic_division(F.col("sic"), 1),
+            "sic_coverage_status": classify.sic_coverage(F.col("sic"), F.col("resolved_cik"), F.col("instrument_class")),
+            "continuity_status": classify.continuity(F.col("symbol"), F.col("current_tickers")),
+        }
+    ).drop("current_tickers")
