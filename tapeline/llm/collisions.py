@@ -34,6 +34,8 @@ from tapeline.llm.vectors import matrix, unit, usable
 DIRECTIONS = 63
 #: Half a window, in distances of a pair at the threshold; and the chance that such a pair is missed.
 WINDOW, MISS = 1.1, 1e-6
+#: Cells of half a window, and of all projections.
+HALF, CELLS = 128, 4096
 #: Vectors that are counted against each other at once, and a block's least and largest number of them.
 TILE, LEAST_BLOCK, LARGEST_BLOCK = 1024, 4096, 65536
 
@@ -52,25 +54,32 @@ def _directions(dim: int) -> np.ndarray:
     return np.random.default_rng(dim).normal(size=(dim, DIRECTIONS)).astype(np.float32)
 
 
-def _running(projections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per direction the sorted values and, for each rank, the set of all before it as bits."""
-    n = len(projections)
-    width = -(-n // 64)
-    order = np.argsort(projections, 0, kind="stable")
-    bits = np.zeros((DIRECTIONS, n + 1, width), np.uint64)
-    d, rank = np.meshgrid(np.arange(DIRECTIONS), np.arange(1, n + 1), indexing="ij")
-    point = order.T
-    bits[d, rank, point >> 6] = np.uint64(1) << (point & 63).astype(np.uint64)
+def _cells(units: np.ndarray, threshold: float) -> np.ndarray:
+    """Each direction's projections, as numbers of cells of which HALF make half a window."""
+    half = WINDOW * math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    cells = np.floor((units.astype(np.float32) @ _directions(units.shape[1])) * np.float32(HALF / half))
+    # what lies beyond the last cell is moved nearer to the rest, which loses no collision
+    return np.clip(cells.T + CELLS // 2, HALF, CELLS - HALF - 1).astype(np.int16).copy()
+
+
+def _running(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per direction how many points lie before each cell, and for each rank in sorted order the set of all before it as bits."""
+    n = cells.shape[1]
+    order = np.argsort(cells, 1, kind="stable")
+    bits = np.zeros((DIRECTIONS, n + 1, -(-n // 64)), np.uint64)
+    bits[np.arange(DIRECTIONS)[:, None], np.arange(1, n + 1), order >> 6] = np.uint64(1) << (order & 63).astype(np.uint64)
     np.bitwise_or.accumulate(bits, 1, out=bits)
-    return np.take_along_axis(projections, order, 0).T.copy(), bits
+    before = np.zeros((DIRECTIONS, CELLS + 1), np.int32)
+    counts = np.bincount((cells + np.arange(DIRECTIONS)[:, None] * CELLS).ravel(), minlength=DIRECTIONS * CELLS)
+    np.cumsum(counts.reshape(DIRECTIONS, CELLS), axis=1, out=before[:, 1:])
+    return before, bits
 
 
-def _enough(queries: np.ndarray, half: float, values: np.ndarray, bits: np.ndarray, least: int) -> np.ndarray:
+def _enough(queries: np.ndarray, before: np.ndarray, bits: np.ndarray, least: int) -> np.ndarray:
     """Bit sets: for each query the points whose collisions with it number ``least`` or more."""
     planes: list[list[np.ndarray]] = [[] for _ in range(DIRECTIONS.bit_length() + 1)]
     for d in range(DIRECTIONS):
-        lo = np.searchsorted(values[d], queries[:, d] - half, "left")
-        hi = np.searchsorted(values[d], queries[:, d] + half, "right")
+        lo, hi = before[d][queries[d] - HALF], before[d][queries[d] + (HALF + 1)]
         carry, level = bits[d][hi] ^ bits[d][lo], 0
         while True:
             planes[level].append(carry)
@@ -88,7 +97,7 @@ def _enough(queries: np.ndarray, half: float, values: np.ndarray, bits: np.ndarr
             plane.append(x ^ y)
             planes[level + 1].append(x & y)
         total.append(plane[0] if plane else None)
-    blank = np.zeros((len(queries), bits.shape[2]), np.uint64)
+    blank = np.zeros((queries.shape[1], bits.shape[2]), np.uint64)
     more, equal = blank.copy(), ~blank
     for level in range(len(total) - 1, -1, -1):
         plane = blank if total[level] is None else total[level]
@@ -111,15 +120,15 @@ def _pairs_of(sets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, threshold: float, same: bool):
     """Yields arrays of rows of ``a`` and of ``b`` (unit rows) whose cosine reaches the threshold."""
-    directions = _directions(a.shape[1])
-    half = WINDOW * math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     least = collision_bound()
+    left_cells = _cells(a, threshold)
+    right_cells = left_cells if same else _cells(b, threshold)
     for j in range(0, len(b), TILE):
         right = b[j : j + TILE]
-        values, bits = _running(right.astype(np.float32) @ directions)
+        before, bits = _running(right_cells[:, j : j + TILE])
         for i in range(0, min(len(a), j + TILE) if same else len(a), TILE):
             left = a[i : i + TILE]
-            x, y = _pairs_of(_enough(left.astype(np.float32) @ directions, half, values, bits, least), len(right))
+            x, y = _pairs_of(_enough(left_cells[:, i : i + TILE], before, bits, least), len(right))
             if same and i == j:
                 x, y = x[x < y], y[x < y]
             for k in range(0, len(x), 200_000):
@@ -149,7 +158,7 @@ def _compare(threshold: float):
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 same = row["p"] == row["q"]
-                a, b = (np.frombuffer(row[f"v{s}"]).reshape(-1, row["dim"]) for s in "pq")
+                a, b = (unit(np.frombuffer(row[f"v{s}"], np.float64 if row["wide"] else np.float32).reshape(-1, row["dim"])) for s in "pq")
                 ids = [np.frombuffer(row[f"i{s}"], np.int64) for s in "pq"]
                 copies = [np.frombuffer(row[f"n{s}"], np.int64) for s in "pq"]
                 shift = 0 if same else len(a)
@@ -175,10 +184,10 @@ def _compare(threshold: float):
 
 def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     order = np.argsort(table["cid"].to_numpy(), kind="stable")
-    x = unit(matrix(table["vector"], key[0].as_py()))[order]
-    fields = [[key[0].as_py()], [key[1].as_py()], [x.tobytes()], [table["cid"].to_numpy()[order].tobytes()], [table["copies"].to_numpy()[order].tobytes()]]
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(v, t) for v, t in zip(fields, kinds, strict=True)], names=["dim", "block", "v", "i", "n"])
+    x = matrix(table["vector"], key[0].as_py())[order]
+    fields = [[key[0].as_py()], [key[1].as_py()], [x.dtype == np.float64], [x.tobytes()], [table["cid"].to_numpy()[order].tobytes()], [table["copies"].to_numpy()[order].tobytes()]]
+    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(v, t) for v, t in zip(fields, kinds, strict=True)], names=["dim", "block", "wide", "v", "i", "n"])
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -189,17 +198,18 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
     if not 0.5 < threshold < 1:
         raise ValueError("windows are laid out for thresholds between 0.5 and 1")
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"))
     rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.col("vector")))
     classes = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "vectors")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = min(LARGEST_BLOCK, max(LEAST_BLOCK, -(-classes.count() // 16)))
+    size = min(LARGEST_BLOCK, max(LEAST_BLOCK, -(-classes.count() // 12)))
     blocks = max(1, -(-classes.count() // size))
     dealt = classes.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks))).repartition(max(parts, blocks), "dim", "block")
-    packed = staged(dealt.groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, v binary, i binary, n binary"), "blocks")
+    packed = staged(dealt.groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, wide boolean, v binary, i binary, n binary"), "blocks")
     first, last = F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")
-    left = packed.select("dim", F.col("block").alias("p"), F.col("v").alias("vp"), F.col("i").alias("ip"), F.col("n").alias("np"), F.explode(F.sequence("block", last)).alias("q"))
+    left = packed.select("dim", "wide", F.col("block").alias("p"), F.col("v").alias("vp"), F.col("i").alias("ip"), F.col("n").alias("np"), F.explode(F.sequence("block", last)).alias("q"))
     right = packed.select("dim", F.col("block").alias("q"), F.col("v").alias("vq"), F.col("i").alias("iq"), F.col("n").alias("nq"), F.explode(F.sequence(first, F.col("block"))).alias("p"))
     met = left.join(right, ["dim", "p", "q"]).repartition(max(parts, blocks * (blocks + 1) // 2), "dim", "p", "q")
     found = staged(met.mapInArrow(_compare(threshold), "cid long, links long, root long"), "vector-links")

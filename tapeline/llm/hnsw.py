@@ -260,7 +260,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     candidate of its own.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
     asked = rows.filter(queries)
     total, of_queries = rows.count(), asked.count()
