@@ -7,12 +7,16 @@ its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application; raises if a cluster's session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +33,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Holds Arrow batches of this session to 8 MB, and returns ``df``.
+
+    A batch stands in the JVM and in the worker, once on the way in and once on the way out; what
+    is done with it here gains nothing from larger ones.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9]", "", conf.get(key))) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back."""
     spark = df.sparkSession

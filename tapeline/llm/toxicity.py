@@ -22,15 +22,18 @@ from pyspark.sql import functions as F
 
 from tapeline.llm import textbytes
 from tapeline.llm.learning import fold, labelled_sample
+from tapeline.llm.minhash import shingle_sets
+from tapeline.llm.storage import small_batches
 
 #: Labelled rows that the network is trained on, at most.
 SAMPLE = 4000
 WIDTH, STRIDE, HIDDEN = 32, 24, 8
-WORDS, GRAMS = 1 << 16, 1 << 17
+#: Places of trained vectors of words and n-grams, and of the n-grams' evidence; the words' evidence is by whole hash.
+WORDS, GRAMS, RATIOS = 1 << 16, 1 << 17, 1 << 19
 TRAINED = 3
 INPUTS = 3 + 2 * TRAINED
 #: Steps of training to go for; the sample is gone over 3 to 10 times.
-STEPS, BATCH, RATE = 200, 128, 0.02
+STEPS, BATCH, RATE = 300, 128, 0.02
 #: Documents that must hold a word or n-gram before its evidence counts.
 LEAST = 4
 
@@ -54,8 +57,8 @@ def _grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
         h = h * np.uint64(0x100000001B3) + marked[n - 1 : n - 1 + len(word)] + np.uint64(1)
         if n >= 3:
             fits = left >= n
-            places.append((textbytes.mix(h[fits] + np.uint64(n)) >> np.uint64(47)).astype(np.int64))
-            words.append(word[fits])
+            places.append((textbytes.mix(h[fits] + np.uint64(n)) >> np.uint64(45)).astype(np.int32))
+            words.append(word[fits].astype(np.int32))
     place, of = np.concatenate(places), np.concatenate(words)
     order = np.argsort(of, kind="stable")
     return place[order], of[order]
@@ -75,8 +78,15 @@ class Chunk:
         h = textbytes.span_hash(low, starts, ends)
         one, self.word = textbytes.distinct(h)
         self.count = len(one)
+        self.hash = h[one]
         self.place = (textbytes.mix(h[one]) >> np.uint64(48)).astype(np.int64)
-        self.gram, self.gram_word = _grams(low, starts[one], ends[one])
+        self._text, self._starts, self._ends = low, starts[one], ends[one]
+
+    def blocks(self):
+        """Yields (first word, end word, places of n-grams, word of each from the first on), some words at a time."""
+        for a in range(0, self.count, 1 << 14):
+            b = min(self.count, a + (1 << 14))
+            yield a, b, *_grams(self._text, self._starts[a:b], self._ends[a:b])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, number of words and text of each window; windows cover their text."""
@@ -91,7 +101,7 @@ class Chunk:
 def chunks_of(column: pa.Array):
     """Yields (first row, end row, words of these rows)."""
     data, at = textbytes.flat(column)
-    for i, j in textbytes.chunks(at, 1 << 22):
+    for i, j in textbytes.chunks(at, 1 << 21):
         yield i, j, Chunk(data[at[i] : at[j]], at[i : j + 1] - at[i])
 
 
@@ -109,7 +119,8 @@ class Network:
 
     def __init__(self, seed: int = 7):
         g, h = np.random.default_rng(seed), HIDDEN
-        self.word_ratio, self.gram_ratio = np.zeros(WORDS, np.float32), np.zeros(GRAMS, np.float32)
+        self.word_hash, self.word_ratio = np.zeros(0, np.uint64), np.zeros(1, np.float32)
+        self.gram_ratio = np.zeros(RATIOS, np.float32)
         self.p = {"ew": np.zeros((WORDS, TRAINED)), "eg": np.zeros((GRAMS, TRAINED))}
         for d in "fb":
             self.p[f"W{d}"] = g.normal(0, 0.4, (INPUTS, 3 * h))
@@ -127,16 +138,20 @@ class Network:
         x = np.zeros((c.count, INPUTS), np.float32)
         if not c.count:
             return x
-        x[:, 0] = self.word_ratio[c.place]
-        n = np.bincount(c.gram_word, minlength=c.count)
-        some = np.flatnonzero(n)
-        begin = (np.cumsum(n) - n)[some]
-        ratio = self.gram_ratio[c.gram]
-        x[some, 1] = np.add.reduceat(ratio, begin) / n[some]
-        x[some, 2] = np.maximum.reduceat(ratio, begin)
+        if len(self.word_hash):
+            at = np.searchsorted(self.word_hash, c.hash)
+            there = self.word_hash[np.minimum(at, len(self.word_hash) - 1)] == c.hash
+            x[:, 0] = self.word_ratio[np.where(there, at, len(self.word_hash))]
         x[:, 3 : 3 + TRAINED] = self.p["ew"][c.place]
-        for k in range(TRAINED):
-            x[some, 3 + TRAINED + k] = np.add.reduceat(self.p["eg"][c.gram, k], begin) / n[some]
+        for a, b, gram, of in c.blocks():
+            n = np.bincount(of, minlength=b - a)
+            some = np.flatnonzero(n)
+            begin = (np.cumsum(n) - n)[some]
+            ratio = self.gram_ratio[gram]
+            x[a + some, 1] = np.add.reduceat(ratio, begin) / n[some]
+            x[a + some, 2] = np.maximum.reduceat(ratio, begin)
+            for k in range(TRAINED):
+                x[a + some, 3 + TRAINED + k] = np.add.reduceat(self.p["eg"][gram >> 2, k], begin) / n[some]
         return x
 
     def _run(self, d: str, table: np.ndarray, at: np.ndarray, mask: np.ndarray | None, trace: list | None) -> np.ndarray:
@@ -175,6 +190,8 @@ class Network:
 
     def gradients(self, c: Chunk, x: np.ndarray, at: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
         """Gradients of the weighted logistic loss by back-propagation through time."""
+        met, at = np.unique(at, return_inverse=True)  # the words of these windows only
+        at, x = at.reshape(mask.shape), x[met]
         keep: dict = {}
         logit = self.forward(x, at, mask, keep)
         dl = ((1 / (1 + np.exp(-logit)) - y) * weight / weight.sum()).astype(np.float32)
@@ -208,13 +225,11 @@ class Network:
                     dx[:, q] += np.bincount(at[t], step[:, q], len(dx)).astype(np.float32) if q >= 3 else 0
             out[f"W{d}"], out[f"U{d}"], out[f"b{d}"] = dw, du, db
         out["ew"], out["eg"] = np.zeros_like(self.p["ew"]), np.zeros_like(self.p["eg"])
-        n = np.maximum(np.bincount(c.gram_word, minlength=c.count), 1)
-        touched = np.flatnonzero(np.abs(dx[:, 3:]).sum(1))
-        some = np.isin(c.gram_word, touched)
-        gram, of = c.gram[some], c.gram_word[some]
+        gram, of = _grams(c._text, c._starts[met], c._ends[met])
+        part = dx / np.maximum(np.bincount(of, minlength=len(met)), 1)[:, None]
         for k in range(TRAINED):
-            out["ew"][:, k] = np.bincount(c.place[touched], dx[touched, 3 + k], WORDS)
-            out["eg"][:, k] = np.bincount(gram, (dx[:, 3 + TRAINED + k] / n)[of], GRAMS)
+            out["ew"][:, k] = np.bincount(c.place[met], dx[:, 3 + k], WORDS)
+            out["eg"][:, k] = np.bincount(gram >> 2, part[of, 3 + TRAINED + k], GRAMS)
         return out
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
@@ -259,6 +274,18 @@ def _evidence(count: np.ndarray, toxic: np.ndarray, texts: int, bad: int) -> np.
     return np.where(count >= LEAST, np.clip(ratio, -3, 4), 0).astype(np.float32)
 
 
+def _once(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order, by sorting, which is faster here than numpy's hashing."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _tally(seen: tuple[np.ndarray, np.ndarray], keys: np.ndarray, size: int, y: np.ndarray) -> None:
+    """Adds the texts, and the toxic ones, of (text, place) keys to the counts by place."""
+    seen[0][:] += np.bincount(keys % size, minlength=size)
+    seen[1][:] += np.bincount(keys % size, y[keys // size], size)
+
+
 def train(column: pa.Array, y: np.ndarray, seed: int = 7) -> Network:
     """A network from texts and their labels."""
     net, g = Network(seed), np.random.default_rng(seed)
@@ -266,21 +293,33 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 7) -> Network:
         net.constant = float(y[0]) if len(y) else 0.0
         return net
     parts = list(chunks_of(column))
-    seen = {k: (np.zeros(n), np.zeros(n)) for k, n in (("word", WORDS), ("gram", GRAMS))}
+    # near copies of one text are no evidence for its rare words: of those that share their least shingle one counts
+    least = np.array([int(x[0]) if len(x) else 0 for x in shingle_sets(column)])
+    first = np.zeros(len(y), bool)
+    first[np.unique(least, return_index=True)[1]] = True
+    seen, met = (np.zeros(RATIOS), np.zeros(RATIOS)), []
     for i, j, c in parts:
         row = np.repeat(np.arange(j - i), np.diff(c.first))
-        pair = np.unique(row * c.count + c.word)
-        text, word = pair // max(c.count, 1), pair % max(c.count, 1)
-        n = np.bincount(c.gram_word, minlength=c.count)
-        begin = np.cumsum(n) - n
-        for a in range(0, len(pair), 100_000):
-            t, w = text[a : a + 100_000], word[a : a + 100_000]
-            # a text's words may fall into two blocks; it is counted once for each, which matters little
-            for kind, size, key in (("word", WORDS, np.unique(t * WORDS + c.place[w])), ("gram", GRAMS, np.unique(np.repeat(t, n[w]) * GRAMS + c.gram[textbytes.ragged(begin[w], n[w])]))):
-                seen[kind][0][:] += np.bincount(key % size, minlength=size)
-                seen[kind][1][:] += np.bincount(key % size, y[i + key // size], size)
-    net.word_ratio = _evidence(*seen["word"], len(y), int(y.sum()))
-    net.gram_ratio = _evidence(*seen["gram"], len(y), int(y.sum()))
+        pair = _once(row * max(c.count, 1) + c.word)
+        word, text = pair % max(c.count, 1), pair // max(c.count, 1)
+        word, text = word[first[i + text]], text[first[i + text]]
+        order = np.argsort(word, kind="stable")
+        word, text = word[order], text[order]
+        met.append((c.hash[word], y[i + text]))
+        for a, b, gram, of in c.blocks():
+            n = np.bincount(of, minlength=b - a)
+            lo, hi = np.searchsorted(word, [a, b])
+            w = word[lo:hi] - a
+            # a text's words may fall into several blocks; it is counted once for each, which matters little
+            places = gram[textbytes.ragged((np.cumsum(n) - n)[w], n[w])].astype(np.int64)
+            _tally(seen, _once(np.repeat(text[lo:hi], n[w]) * RATIOS + places), RATIOS, y[i:j])
+    hashes, bad = (np.concatenate(x) for x in zip(*met, strict=True))
+    one, which = textbytes.distinct(hashes)
+    ratio = _evidence(np.bincount(which, minlength=len(one)), np.bincount(which, bad, len(one)), int(first.sum()), int(y[first].sum()))
+    known = np.flatnonzero(ratio)
+    known = known[np.argsort(hashes[one][known])]
+    net.word_hash, net.word_ratio = hashes[one][known], np.append(ratio[known], np.float32(0))
+    net.gram_ratio = _evidence(*seen, int(first.sum()), int(y[first].sum()))
 
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, net.base = 0, float(y.mean())
@@ -303,7 +342,7 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 7) -> Network:
                 at = np.minimum(start[some] + np.arange(steps)[:, None], len(c.word) - 1)
                 mask = np.arange(steps)[:, None] < size[some]
                 target = y[i + row[some]].astype(np.float32)
-                grads = net.gradients(c, x if step % 4 == 0 else net.inputs(c), c.word[at], mask, target, np.ones(len(some), np.float32))
+                grads = net.gradients(c, x, c.word[at], mask, target, np.ones(len(some), np.float32))
                 step += 1
                 for k, grad in grads.items():
                     m, v = moments[k]
@@ -342,7 +381,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column, sample: int = SA
     """A network from labelled documents outside the held-out fold, at most ``sample`` of them."""
     got = labelled_sample(docs, labels, "toxic", held_out, sample).select("doc_id", "label", "text").toPandas()
     got = got.sort_values(["doc_id", "label", "text"], kind="stable")
-    return train(pa.array(got["text"], pa.string()), got["label"].to_numpy(np.float64))
+    net = train(pa.array(got["text"], pa.string()), got["label"].to_numpy(np.float64))
+    del got
+    textbytes.tidy()
+    return net
 
 
 def kept(docs: DataFrame, net: Network, most: float = 0.3) -> DataFrame:
@@ -352,8 +394,9 @@ def kept(docs: DataFrame, net: Network, most: float = 0.3) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(net.score(batch.column("text")) < most))
+        textbytes.tidy()
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,10 +404,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = F.coalesce(fold(4) == 2, F.lit(False))
     net = fit(docs, labels, held_out)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(batch.column(1)))], names=["doc_id", "score"])
+        textbytes.tidy()
 
     return source.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
