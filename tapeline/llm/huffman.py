@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm import wordtokens
-from tapeline.llm.storage import new_path, staged
+from tapeline.llm.storage import new_path, small_batches, staged
 
 LIMIT = 20
 #: Ids after which a block is closed, and ids between checkpoints.
@@ -183,7 +183,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     """Writes the ids of all texts, each closed by ``end_id``, into ``folder``."""
     spark = docs.sparkSession
     path = tokenizer or wordtokens.default_path()
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = source.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)
     bounds = np.unique(np.array(bounds, np.int64)) if bounds else np.zeros(0, np.int64)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tapeline.llm import idfilter, textbytes
 from tapeline.llm.graph import components
-from tapeline.llm.storage import staged
+from tapeline.llm.storage import small_batches, staged
 
 SHINGLE = 5
 K = 32
@@ -75,6 +75,7 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(sketches)], names=["doc_id", "n_shingles", "print", "sketch"]
         )
+    textbytes.tidy()
 
 
 def _full_sets(words: np.ndarray):
@@ -87,6 +88,7 @@ def _full_sets(words: np.ndarray):
                 sets = list(shingle_sets(part.column(1)))
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), _lists(sets)], names=["doc_id", "print", "shingles"])
+        textbytes.tidy()
 
     return run
 
@@ -218,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     if not 80 <= percent <= 100:
         raise ValueError("the prefix of the sketches is laid out for a similarity of 0.8 and more")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, print binary, sketch array<long>"), "sketches")
     classes = rows.filter("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")

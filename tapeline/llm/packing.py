@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import wordtokens
-from tapeline.llm.storage import staged
+from tapeline.llm import textbytes, wordtokens
+from tapeline.llm.storage import small_batches, staged
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights, and how much a round lowers a covered length's price.
@@ -185,6 +185,7 @@ def _cut(path: str, end_id: int, capacity: int):
                     [doc.slice(i, j - i).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        textbytes.tidy()
 
     return run
 
@@ -210,7 +211,7 @@ def _numbered(capacity: int):
 def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     path = tokenizer or wordtokens.default_path()
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = staged(source.mapInArrow(_cut(path, end_id, capacity), _PIECES), "pieces")
     spread = pieces.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece").withColumn("part", F.spark_partition_id())
     ranked = staged(spread.mapInArrow(_numbered(capacity), _PIECES + ", part int, rank long"), "ranked")

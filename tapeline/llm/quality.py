@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tapeline.llm import textbytes
 from tapeline.llm.learning import fold, labelled_sample
+from tapeline.llm.storage import small_batches
 
 #: Labelled rows that trees are grown from, at most.
 SAMPLE = 8000
@@ -48,7 +49,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     """One row of float32 statistics per text."""
     data, offsets = textbytes.flat(column)
     out = []
-    for i, j in textbytes.chunks(offsets, 1 << 22):
+    for i, j in textbytes.chunks(offsets, 1 << 21):
         out.append(_statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
     return np.concatenate(out) if out else np.zeros((0, 1), np.float32)
 
@@ -161,7 +162,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column, sample: int = SAMPLE) -> Trees:
     """Trees from labelled documents outside the held-out fold, at most ``sample`` of them."""
-    rows = labelled_sample(docs, labels, "quality", held_out, sample)
+    rows = labelled_sample(small_batches(docs), labels, "quality", held_out, sample)
 
     def run(batches):
         for batch in batches:
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column, sample: int = SA
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
     got = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, x array<float>").toPandas()
-    x = np.array(got["x"].tolist(), np.float32).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32)
     y = got["label"].to_numpy(np.float64)
     # rows arrive in any order; a fixed one makes the trees the same every time
     order = np.lexsort((*x.T, y, got["doc_id"])) if len(got) else np.zeros(0, np.int64)
@@ -183,8 +184,9 @@ def kept(docs: DataFrame, trees: Trees, least: float = 0.3) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(trees.score(statistics(batch.column("text"))) >= least))
+        textbytes.tidy()
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +194,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = F.coalesce(fold(5) == 0, F.lit(False))
     trees = fit(docs, labels, held_out)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
