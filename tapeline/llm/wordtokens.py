@@ -18,8 +18,8 @@ import pyarrow as pa
 
 from tapeline.llm import textbytes
 
-#: Runs whose ids a worker keeps between chunks; beyond it they are encoded again.
-KEPT = 500_000
+#: Runs whose ids a worker keeps between chunks (about 30 bytes each); beyond it they are encoded again.
+KEPT = 1_500_000
 #: Longer runs aren't kept.
 SHORT = 64
 
@@ -32,6 +32,8 @@ def default_path() -> str:
 
 
 class _Encoder:
+    """The library's tokenizer, and the ids of runs met before in flat arrays, sorted by the runs' hashes."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -39,20 +41,38 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kept: dict[bytes, bytes] = {}
-
-    def runs(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each run as little-endian 32-bit integers."""
-        found = list(map(self.kept.get, texts))
-        missing = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([texts[i].decode("utf-8", "replace") for i in some], add_special_tokens=False)
-            for i, e in zip(some, encoded, strict=True):
-                found[i] = np.array(e.ids, "<u4").tobytes()
-                if len(self.kept) < KEPT and len(texts[i]) <= SHORT:
-                    self.kept[texts[i]] = found[i]
-        return found
+        self.hash, self.begin, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct runs (in the order of their hashes): a flat array, and where each run's begin and how many they are."""
+        at = np.searchsorted(self.hash, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hash)
+        known[inside] = self.hash[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        short = (ends - starts)[new] <= SHORT
+        new, kept = np.concatenate([new[short], new[~short]]), int(short.sum())
+        begin, length = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        begin[known], length[known] = self.begin[at[known]], self.length[at[known]]
+        found = []
+        for a in range(0, len(new), 20_000):
+            some = new[a : a + 20_000]
+            texts = [x.decode("utf-8", "replace") for x in textbytes.pieces(data, starts[some], ends[some])]
+            found += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not found:
+            return self.ids, begin, length
+        length[new] = np.fromiter(map(len, found), np.int64, len(found))
+        begin[new] = len(self.ids) + np.cumsum(length[new]) - length[new]
+        ids = np.concatenate([self.ids, *found])
+        if len(self.hash) + kept <= KEPT:
+            keep = new[:kept]
+            place = np.searchsorted(self.hash, hashes[keep])
+            self.hash = np.insert(self.hash, place, hashes[keep])
+            self.begin = np.insert(self.begin, place, begin[keep])
+            self.length = np.insert(self.length, place, length[keep])
+            self.ids = ids[: len(self.ids) + int(length[keep].sum())]
+        return ids, begin, length
 
 
 @functools.lru_cache(maxsize=2)
@@ -100,11 +120,9 @@ def encoded(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int
     for i, j in textbytes.chunks(offsets, 1 << 22):
         part = data[offsets[i] : offsets[j]]
         part, starts, ends, first = _runs(part, offsets[i : j + 1] - offsets[i])
-        one, which = textbytes.distinct(textbytes.span_hash(part, starts, ends))
-        runs = encoder.runs(textbytes.pieces(part, starts[one], ends[one]))
-        table = np.frombuffer(b"".join(runs), "<u4")
-        length = np.fromiter(map(len, runs), np.int64, len(runs)) >> 2
-        begin = np.cumsum(length) - length
+        hashes = textbytes.span_hash(part, starts, ends)
+        one, which = textbytes.distinct(hashes)
+        table, begin, length = encoder.runs(part, starts[one], ends[one], hashes[one])
         n = length[which]
         upto = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=upto[1:])
