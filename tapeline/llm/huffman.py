@@ -188,13 +188,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     bounds = source.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)
     bounds = np.unique(np.array(bounds, np.int64)) if bounds else np.zeros(0, np.int64)
     dealt = source.mapInArrow(_encode(path, end_id, bounds), "part int, doc_id long, width byte, ids binary")
-    rows = staged(dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id"), "ids")
+    rows = staged(dealt, "ids")
     counts = rows.select("width", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     ids, n = counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     bits = code_lengths(n)
     book = pa.table({"id": ids, "bits": bits})
     spark.createDataFrame(book.to_pandas(), "id long, bits long").coalesce(1).write.parquet(f"{folder}/codebook")
-    # a part is read back whole and in order if its file isn't split, so it is dealt and sorted again
+    # the only shuffle: by now the codes are known, and each part is coded in order as it is written
     ordered = rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id")
     ordered.mapInArrow(_write(ids, bits), _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
