@@ -4,8 +4,9 @@ Four kinds are matched directly: email, ip, card and phone. These, and long hexa
 are the seeds of a bootstrap: a lexical pattern is a label with its sign ("token =",
 "password="), an instance is the identifier that follows one. Patterns and instances form a
 graph; in each round a pattern's score is the mean score of its different instances, an
-instance's score is the chance that one of its patterns is right, and the best patterns of
-enough support join the lexicon. What follows a pattern of the lexicon is personal data too, seen
+instance's score is the chance that one of its patterns is right, and all patterns of enough
+score and support join the lexicon, until a round adds none. The lexicon is a staged table, joined
+on the labels that a text holds. What follows a pattern of the lexicon is personal data too, seen
 before or not, unless it overlaps a direct match.
 
 Places are code points. They come from splitting a text at marks put around each match, so no
@@ -34,8 +35,8 @@ KEY = r"[0-9a-f]{16,}"
 LABEL = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{1,30}+\x20?[:=#]\x20?[\"']?"
 VALUE = r"(?=[^0-9\s]*[0-9])[A-Za-z0-9+][A-Za-z0-9._@+/-]{4,}+"
 
-#: Rounds of the bootstrap, patterns that a round may add, and what a pattern needs for it.
-ROUNDS, ADDED, SEEDS, SURE = 4, 50, 3, 0.6
+#: What a pattern needs to join the lexicon: good instances, and their mean score.
+SEEDS, SURE = 3, 0.6
 
 KINDS = ("email", "ip", "card", "phone")
 _SPANS = "array<struct<s:int,e:int,v:string>>"
@@ -116,80 +117,115 @@ def _name(labelled: Column) -> Column:
     return _label(F.regexp_extract(labelled, f"^({LABEL})", 1))
 
 
-def lexicon(docs: DataFrame, rounds: int = ROUNDS) -> list[str]:
-    """Patterns whose instances are personal data, at most ``ADDED`` of each round."""
+def learnt(docs: DataFrame) -> DataFrame:
+    """Staged table of the patterns whose instances are personal data.
+
+    Scores only grow as patterns join, so the lexicon does not depend on the order in which they do.
+    """
     text = _clean(F.col("text"))
     found = docs.select(text.alias("t")).filter(F.col("t").rlike("[:=#]"))
     found = found.select(F.explode(F.regexp_extract_all("t", F.lit(LABEL + VALUE), F.lit(0))).alias("x"))
     found = found.select(_name(F.col("x")).alias("pattern"), _value(F.col("x")).alias("instance"))
     # copies of a document add nothing: instances count once per pattern
-    graph = found.groupBy("pattern", "instance").agg(F.count("*").alias("n"))
+    graph = found.distinct()
     v = F.col("instance")
     seed = v.rlike(f"^{EMAIL}$") | (v.rlike(f"^{IP}$") & _ip_valid(v)) | (v.rlike(f"^{CARD}$") & _card_valid(v)) | (v.rlike(f"^{PHONE}$") & _phone_valid(v))
     seed = seed | (v.rlike(f"^{KEY}$") & v.rlike("[a-f]") & v.rlike("[0-9]"))
     graph = staged(graph.withColumn("seed", seed.cast("double")), "pattern-graph")
-    known: dict[str, float] = {}
-    for _ in range(rounds):
-        right = F.when(F.col("pattern").isin(list(known)), 1.0).otherwise(0.0) if known else F.lit(0.0)
-        scored = graph.groupBy("instance").agg(F.greatest(F.max("seed"), F.max(right * 0.9)).alias("score"))
+    known = staged(graph.select("pattern").limit(0), "lexicon")
+    while True:
+        edges = graph.join(known.withColumn("right", F.lit(0.9)), "pattern", "left")
+        scored = edges.groupBy("instance").agg(F.greatest(F.max("seed"), F.max("right")).alias("score"))
         patterns = graph.join(scored, "instance").groupBy("pattern").agg(F.avg("score").alias("sure"), F.sum((F.col("score") > 0.5).cast("long")).alias("support"))
-        fresh = patterns.filter((F.col("support") >= SEEDS) & (F.col("sure") >= SURE))
-        if known:
-            fresh = fresh.filter(~F.col("pattern").isin(list(known)))
-        best = fresh.orderBy(F.desc(F.col("sure") * F.log(F.col("support") + 1.0)), "pattern").limit(ADDED).collect()
-        if not best:
-            break
-        known |= {r["pattern"]: r["sure"] for r in best}
-    return sorted(known)
-
-
-def _context_spans(text: Column, patterns: list[str]) -> Column:
-    """Spans of the identifiers that follow a pattern of the lexicon."""
-    none = F.array().cast(_SPANS)
-    if not patterns:
-        return none
-    hits = F.filter(_spans(text, LABEL + VALUE), lambda x: _name(x["v"]).isin(patterns))
-    inner = F.transform(hits, lambda x: F.struct((x["e"] - F.length(_value(x["v"]))).alias("s"), x["e"].alias("e"), _value(x["v"]).alias("v")))
-    return F.when(text.rlike("[:=#]"), inner).otherwise(none)
+        good = patterns.filter((F.col("support") >= SEEDS) & (F.col("sure") >= SURE)).select("pattern")
+        fresh = staged(good.join(known, "pattern", "left_anti"), "lexicon-round")
+        if fresh.isEmpty():
+            return known
+        known = staged(known.unionByName(fresh), "lexicon")
+
+
+def lexicon(docs: DataFrame) -> list[str]:
+    """The patterns of ``learnt`` in order, for looking at; operators join the table."""
+    return sorted(r["pattern"] for r in learnt(docs).collect())
+
+
+def _with_known(rows: DataFrame, patterns: DataFrame | list[str]) -> DataFrame:
+    """``rows`` with ``known``: those of a row's ``names`` that the lexicon holds, null for none.
+
+    Rows meet the lexicon by their set of names, so that none is multiplied. Rows without names get
+    keys that meet nothing, dealt by their text ``t``.
+    """
+    if isinstance(patterns, list):
+        patterns = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, patterns)).cast("array<string>")).alias("pattern"))
+    some, key = F.size("names") > 0, F.array_join("names", " ")
+    sets = rows.filter(some).select("names").distinct()
+    known = sets.select(key.alias("key"), F.explode("names").alias("pattern")).join(patterns, "pattern")
+    known = staged(known.groupBy("key").agg(F.collect_set("pattern").alias("known")), "known-names")
+    none = F.concat(F.lit(" "), F.xxhash64("t").cast("string"))
+    return rows.withColumn("key", F.when(some, key).otherwise(none)).join(known, "key", "left")
 
 
-def detected(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def _context_hits(text: Column) -> Column:
+    """Spans of the identifiers that follow any label, each with the pattern's name."""
+
+    def cut(x: Column) -> Column:
+        return F.struct(x["e"].alias("e"), _value(x["v"]).alias("v"), _name(x["v"]).alias("name"))
+
+    hits = F.transform(_spans(text, LABEL + VALUE), cut)
+    hits = F.transform(hits, lambda x: F.struct((x["e"] - F.length(x["v"])).alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["name"].alias("name")))
+    return F.when(text.rlike("[:=#]"), hits).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,name:string>>"))
+
+
+def detected(docs: DataFrame, patterns: DataFrame | list[str]) -> DataFrame:
     """doc_id and arrays of (s, e, v): email, ip, card, phone and context."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _clean(F.col("text")).alias("t"))
     t = F.col("t")
-    rows = rows.select("doc_id", *[x.alias(k) for k, x in base_spans(t).items()], _context_spans(t, patterns).alias("context"))
+    rows = rows.withColumn("hits", _context_hits(t)).withColumn("names", F.array_sort(F.array_distinct(F.col("hits.name"))))
+    rows = _with_known(rows.select("doc_id", "t", *[x.alias(k) for k, x in base_spans(t).items()], "hits", "names"), patterns)
     taken = F.concat(*KINDS)
-    alone = F.filter("context", lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return rows.select("doc_id", *KINDS, alone.alias("context"))
+    sure = F.filter("hits", lambda x: F.coalesce(F.array_contains("known", x["name"]), F.lit(False)))
+    alone = F.filter(sure, lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    context = F.transform(alone, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+    return rows.select("doc_id", *KINDS, context.alias("context"))
 
 
 def _written(kind: str) -> Column:
     return F.transform(F.col(kind), lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")))
 
 
-def masked(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def masked(docs: DataFrame, patterns: DataFrame | list[str]) -> DataFrame:
     """The rows of ``docs`` with personal data replaced by the kind's name in brackets, and n_chars made to fit."""
 
-    def hide(text: Column, pattern: str, may: Column, tag, valid) -> Column:
-        pieces = F.transform(_pieces(text, pattern), lambda x, i: F.when((i % 2 == 1) & valid(x), tag(x)).otherwise(x))
+    def hide(text: Column, pattern: str, may: Column, tag: str, valid) -> Column:
+        pieces = F.transform(_pieces(text, pattern), lambda x, i: F.when((i % 2 == 1) & valid(x), F.lit(tag)).otherwise(x))
         return F.when(may, F.array_join(pieces, "")).otherwise(text)
 
     names = docs.columns
-    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), _clean(F.col("text"))))
+    t = F.col("t")
+    # other columns apart: their names may be those used here
+    rows = docs.select(F.struct(*[c for c in names if c != "text"]).alias("row"), F.when(F.col("text").isNotNull(), _clean(F.col("text"))).alias("t"))
     for kind, (pattern, may, valid) in _RULES.items():
-        out = out.withColumn("text", hide(F.col("text"), pattern, may(F.col("text")), lambda x, kind=kind: F.lit(f"[{kind.upper()}]"), valid))
-    if patterns:
-        tag = lambda x: F.concat(F.regexp_extract(x, f"^({LABEL})", 1), F.lit("[SECRET]"))
-        out = out.withColumn("text", hide(F.col("text"), LABEL + VALUE, F.col("text").rlike("[:=#]"), tag, lambda x: _name(x).isin(patterns)))
+        rows = rows.withColumn("t", hide(t, pattern, may(t), f"[{kind.upper()}]", valid))
+    pieces = F.when(t.rlike("[:=#]"), _pieces(t, LABEL + VALUE)).when(t.isNotNull(), F.array("t")).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("pieces", pieces)
+    labels = F.transform(F.filter("pieces", lambda x, i: i % 2 == 1), _name)
+    rows = _with_known(rows.withColumn("names", F.array_sort(F.array_distinct(labels))), patterns)
+
+    def secret(x: Column, i: Column) -> Column:
+        tag = F.concat(F.regexp_extract(x, f"^({LABEL})", 1), F.lit("[SECRET]"))
+        return F.when((i % 2 == 1) & F.array_contains("known", _name(x)), tag).otherwise(x)
+
+    text = F.when(F.size("pieces") > 0, F.array_join(F.transform("pieces", secret), ""))
+    out = rows.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names])
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: spans of personal data in every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = detected(docs, lexicon(docs))
+    rows = detected(docs, learnt(docs))
     base = F.concat(*[_written(k) for k in KINDS])
     return rows.select(
         "doc_id",

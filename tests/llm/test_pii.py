@@ -60,6 +60,26 @@ def test_labels_before_known_data_find_unknown_data(documents):
     assert got[102]["context"] == [] and got[301]["context"] == [] and got[200]["context"] == []
 
 
+def test_the_lexicon_has_no_fixed_number_of_patterns(documents):
+    names = ["".join(chr(97 + int(c)) for c in f"{k:03}") for k in range(260)]
+    rows = [f"key{n} = {k:03}{j}abcdef0123456789" for k, n in enumerate(names) for j in range(3)] + [f"key{n} = short7{n}" for n in names]
+    df = documents(list(enumerate(rows)))
+    table = pii.learnt(df)
+    assert sorted(r["pattern"] for r in table.collect()) == sorted(f"key{n}=" for n in names)
+    assert all(len(r["context"]) == 1 for r in pii.detected(df, table).collect())
+    assert all(r["text"].endswith("= [SECRET]") for r in pii.masked(df, table).collect())
+
+
+def test_the_bootstrap_goes_on_until_a_round_adds_none(documents):
+    # a label is good enough only when the one before it is known, with which it shares three identifiers
+    rows = []
+    for k in range(8):
+        label, before = f"lab{chr(97 + k)}: ", f"{chr(96 + k)}"
+        rows += [f"{label}u{j}@example.org" for j in range(4 if k else 7)]
+        rows += [f"{label}{before}{j}secret" for j in range(3 if k else 0)] + [f"{label}{chr(97 + k)}{j}secret" for j in range(3)]
+    assert pii.lexicon(documents(list(enumerate(rows)))) == [f"lab{chr(97 + k)}:" for k in range(8)]
+
+
 def test_nothing_to_learn_from(documents):
     assert pii.lexicon(documents([])) == []
     assert pii.lexicon(documents([(1, "password=abc123"), (2, None)])) == []
