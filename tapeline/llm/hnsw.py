@@ -8,8 +8,9 @@ descend each shard's levels side by side and widen to a beam on the lowest; the
 are scored on the original vectors in double precision and merged.
 
 Vectors that are null, empty or zero or hold nulls or non-finite numbers take no part, nor do
-rows without an id; vectors of different lengths are never compared. Repeated rows are
-candidates of each other only if their ids differ. Other columns are ignored, whatever their names.
+rows without an id; vectors of different lengths are never compared. Repeated rows count
+once, and an id that has several vectors is one candidate, by its best score. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -139,7 +140,12 @@ class Graph:
             level += 1
         return Graph(points, np.concatenate([ids, valid], 1), members, links)
 
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nodes_of_an_id(self) -> int:
+        """The most nodes that list one id: more than one only where an id has several vectors."""
+        ids, valid = np.split(self.ids, 2, 1)
+        return int(np.unique(ids[valid.astype(bool)], return_counts=True)[1].max(initial=1))
+
+    def search(self, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Nodes and float similarities of the ``k`` best found for each query (unit rows), -1 for none."""
         q = queries.astype(np.float32)
         n, rows = len(self.vectors), np.arange(len(q))
@@ -161,8 +167,8 @@ class Graph:
                 place = np.where(better, near[rows, j], place)
             at = some[place]
         links = self.links[0]
-        nodes, sims = np.full((len(q), BEAM), -1, np.int64), np.full((len(q), BEAM), -3, np.float32)
-        open_ = np.zeros((len(q), BEAM), bool)
+        nodes, sims = np.full((len(q), beam), -1, np.int64), np.full((len(q), beam), -3, np.float32)
+        open_ = np.zeros((len(q), beam), bool)
         nodes[:, 0], sims[:, 0], open_[:, 0] = at, np.einsum("ij,ij->i", q, self.unit32[at]), True
         seen = np.zeros((len(q), n), bool)
         seen[rows, at] = True
@@ -189,7 +195,7 @@ class Graph:
             more_nodes, more_sims = np.full((len(live), width), -1, np.int64), np.full((len(live), width), -3, np.float32)
             more_nodes[who, slot], more_sims[who, slot] = to, found
             all_sims = np.concatenate([sims[live], more_sims], 1)
-            top = np.argpartition(-all_sims, BEAM - 1, 1)[:, :BEAM]
+            top = np.argpartition(-all_sims, beam - 1, 1)[:, :beam]
             sims[live] = np.take_along_axis(all_sims, top, 1)
             nodes[live] = np.take_along_axis(np.concatenate([nodes[live], more_nodes], 1), top, 1)
             open_[live] = np.take_along_axis(np.concatenate([open_[live], more_nodes >= 0], 1), top, 1)
@@ -232,10 +238,13 @@ def _search(k: int):
                 g = _load(row, k + 1)
                 queries = unit(np.frombuffer(row["queries"]).reshape(-1, row["dim"]))
                 query_ids = np.frombuffer(row["query_ids"], np.int64)
+                several = g.nodes_of_an_id()
+                width = (k + 8) * several
+                beam = max(BEAM, min(len(g.vectors), width))
                 out = [], [], []
                 for a in range(0, len(queries), 256):
                     part = queries[a : a + 256]
-                    nodes, _ = g.search(part, k + 8)
+                    nodes, _ = g.search(part, min(width, beam), beam)
                     who, j = np.nonzero(nodes >= 0)
                     node = nodes[who, j]
                     score = np.einsum("ij,ij->i", part[who], g.unit64[node])
@@ -245,6 +254,11 @@ def _search(k: int):
                     q, s, v = who[r], score[r], ids[r, c]
                     order = np.lexsort((v, -s, q))
                     q, s, v = q[order], s[order], v[order]
+                    if several > 1:  # the best of an id's vectors
+                        at_id = np.lexsort((v, q))
+                        new = np.append(True, (np.diff(q[at_id]) != 0) | (np.diff(v[at_id]) != 0))[: len(q)]
+                        once = np.sort(at_id[new])
+                        q, s, v = q[once], s[once], v[once]
                     first = np.arange(len(q)) - np.searchsorted(q, q) < k
                     for o, x in zip(out, (query_ids[a + q[first]], v[first], s[first]), strict=True):
                         o.append(x)
@@ -261,20 +275,20 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["vec_id", "vector"]).withColumn("dim", F.size("vector"))
     asked = rows.filter(queries)
-    total, of_queries = rows.count(), asked.count()
+    total, of_queries = rows.agg(F.count("*"), F.count_if(queries)).first()
     shards, blocks = max(1, -(-total // SHARD)), max(1, -(-of_queries // BLOCK))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).repartition(max(parts, shards), "dim", "shard")
     index = staged(dealt.groupBy("dim", "shard").applyInArrow(_build(k + 1), _INDEX), "graphs")
-    asked = asked.dropDuplicates(["vec_id", "vector"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks)))
     packed = staged(asked.groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, queries binary, query_ids binary"), "queries")
     # every block of queries meets every shard: a stated query set against all rows, in blocks
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     met = left.join(right, ["dim", "shard", "block"]).repartition(max(parts, shards), "shard", "block")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score double").distinct()
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -96,6 +96,23 @@ def test_copies_of_one_vector(spark, monkeypatch):
     assert [r["vec_id"] for r in few] == [1, 2]
 
 
+@pytest.mark.parametrize("shard", [2048, 100])
+def test_repeated_rows_take_one_place(spark, monkeypatch, shard):
+    monkeypatch.setattr(hnsw, "SHARD", shard)
+    x, ids = _random(6, 300, 8, 0), np.arange(300)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    out = hnsw.nearest(_table(spark, [r for r in rows for _ in range(6)]), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    for q in range(0, 300, 50):
+        assert [r["vec_id"] for r in out if r["query_id"] == q] == [i for _, i in _exact(ids, x, q, 5)]
+
+
+def test_an_id_with_several_vectors_takes_one_place(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01 * j]) for j in range(1, 200)] + [(i, [1.0, float(i)]) for i in range(3, 9)]
+    out = hnsw.nearest(_table(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == [1, 3, 4, 5, 6]
+    assert out[0]["score"] == pytest.approx(1 / np.sqrt(1 + 0.01**2), abs=1e-6)
+
+
 def test_graphs_reach_every_node():
     g = np.random.default_rng(3)
     x = np.concatenate([g.normal(size=(1, 8)) + g.normal(size=(100, 8)) * 0.001 for _ in range(6)])
