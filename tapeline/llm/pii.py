@@ -31,9 +31,12 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KEY = r"[0-9a-f]{16,}"
+_SIGN = r"\x20?[:=#]\x20?[\"']?"
 #: A label, its sign, perhaps a quotation mark, and an identifier.
-LABEL = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{1,30}+\x20?[:=#]\x20?[\"']?"
-VALUE = r"(?=[^0-9\s]*[0-9])[A-Za-z0-9+][A-Za-z0-9._@+/-]{4,}+"
+LABEL = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{1,30}+" + _SIGN
+_IDENTIFIER = r"(?=[A-Za-z._@+/-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9._@+/-]{4,}+"
+#: No identifier is what is itself a label with an identifier of its own: that one is matched.
+VALUE = _IDENTIFIER + r"(?!(?<=(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{1,30})" + _SIGN + _IDENTIFIER + ")"
 
 #: What a pattern needs to join the lexicon: good instances, and their mean score.
 SEEDS, SURE = 3, 0.6

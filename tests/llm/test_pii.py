@@ -80,6 +80,26 @@ def test_the_bootstrap_goes_on_until_a_round_adds_none(documents):
     assert pii.lexicon(documents(list(enumerate(rows)))) == [f"lab{chr(97 + k)}:" for k in range(8)]
 
 
+INNER = [
+    ("config: api_key=abcd1234ef", ["abcd1234ef"], "config: api_key=[SECRET]"),
+    ("config: api_key2 = abcd1234ef", ["abcd1234ef"], "config: api_key2 = [SECRET]"),
+    ("config: x/api_key2=abcd1234ef", ["abcd1234ef"], "config: x/api_key2=[SECRET]"),
+    ("config: abcd1234ef # old", ["abcd1234ef"], "config: [SECRET] # old"),
+    ("config: abcd1234ef: words", ["abcd1234ef"], "config: [SECRET]: words"),
+    ("config: server/10:12345", ["server/10"], "config: [SECRET]:12345"),
+    ("config: letters\"12345", [], "config: letters\"12345"),
+]
+
+
+def test_a_label_after_a_label_keeps_its_identifier(documents):
+    df = documents([(k, t) for k, (t, _, _) in enumerate(INNER)])
+    lexicon = ["config:", "api_key=", "api_key2="]
+    assert [[x["v"] for x in r["context"]] for r in pii.detected(df, lexicon).collect()] == [v for _, v, _ in INNER]
+    assert [r["text"] for r in pii.masked(df, lexicon).collect()] == [m for _, _, m in INNER]
+    learn = documents([(k, f"config: api_key={k}abcdef0123456789") for k in range(3)])
+    assert pii.lexicon(learn) == ["api_key="]
+
+
 def test_nothing_to_learn_from(documents):
     assert pii.lexicon(documents([])) == []
     assert pii.lexicon(documents([(1, "password=abc123"), (2, None)])) == []
