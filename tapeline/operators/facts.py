@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,9 @@ def best_facts(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.filter("symbol_era_id is not null").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def latest_facts(rows: DataFrame, key: str = "symbol_era_id") -> DataFrame:
-    """Each key's fact of the latest time, the greatest id among equals."""
-    w = Window.partitionBy(key).orderBy(F.desc("created_at"), F.desc("fact_id"))
+def latest_facts(rows: DataFrame, key: str = "symbol_era_id", order: Sequence[Column] = ()) -> DataFrame:
+    """Each key's fact of the latest time, the greatest id among equals; ``order`` settles what an id leaves open."""
+    w = Window.partitionBy(key).orderBy(F.desc("created_at"), F.desc("fact_id"), *order)
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

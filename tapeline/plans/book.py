@@ -60,19 +60,21 @@ def book(t: Inputs) -> DataFrame:
 
 
 def found(t: Inputs) -> DataFrame:
-    """Orders as facts on eras: ids, states, issuers, entities, times."""
+    """Orders as facts on eras, one a customer and year: ids, states, issuers, entities, times."""
     o = t.table("orders")
     k = F.col("o_orderkey")
+    symbol = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
     return o.select(
         F.concat(F.lit("identity:"), (k % 9000).cast("string")).alias("fact_id"),
-        F.concat(F.lit("C"), (F.col("o_custkey") % 300).cast("string"), F.lit("#001")).alias("symbol_era_id"),
-        F.concat(F.lit("C"), (F.col("o_custkey") % 300).cast("string")).alias("symbol"),
+        F.concat(symbol, F.lit("#"), F.date_format("o_orderdate", "yyyy")).alias("symbol_era_id"),
+        symbol.alias("symbol"),
         pick(STATES, k).alias("verification_state"),
         pick(ISSUERS, k).alias("issuer"),
         (k % 40).cast("string").alias("entity_id"),
         pick(METHODS, k).alias("identity_method"),
         (k % 3 == 0).alias("contested"),
         F.date_format("o_orderdate", "yyyyMMdd").alias("created_at"),
+        F.col("o_orderstatus").alias("batch"),
         k.alias("o_orderkey"),
     )
 
@@ -126,9 +128,9 @@ PARTS |= {
     ),
     "found": (
         (),
-        f"""SELECT 'identity:' || (o_orderkey % 9000) AS fact_id, 'C' || (o_custkey % 300) || '#001' AS symbol_era_id, 'C' || (o_custkey % 300) AS symbol,
+        f"""SELECT 'identity:' || (o_orderkey % 9000) AS fact_id, 'C' || o_custkey || '#' || year(o_orderdate) AS symbol_era_id, 'C' || o_custkey AS symbol,
         {sql_pick(STATES, "o_orderkey")} AS verification_state, {sql_pick(ISSUERS, "o_orderkey")} AS issuer, CAST(o_orderkey % 40 AS VARCHAR) AS entity_id,
-        {sql_pick(METHODS, "o_orderkey")} AS identity_method, o_orderkey % 3 = 0 AS contested, strftime(o_orderdate, '%Y%m%d') AS created_at, o_orderkey FROM orders""",
+        {sql_pick(METHODS, "o_orderkey")} AS identity_method, o_orderkey % 3 = 0 AS contested, strftime(o_orderdate, '%Y%m%d') AS created_at, o_orderstatus AS batch, o_orderkey FROM orders""",
     ),
     "best": (
         ("found",),

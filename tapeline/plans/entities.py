@@ -132,33 +132,33 @@ def best_identities(t: Inputs) -> DataFrame:
     return b.best(t).select("symbol_era_id", "verification_state", "issuer", "entity_id", "o_orderkey", usable.alias("usable"))
 
 
-@query("SELECT symbol_era_id, fact_id, created_at, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY symbol_era_id ORDER BY created_at DESC, fact_id DESC) AS k FROM (SELECT * FROM found WHERE o_orderkey < 9000)) WHERE k = 1 AND verification_state = 'verified'", "found")
+@query("SELECT symbol_era_id, fact_id, created_at, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY symbol_era_id ORDER BY created_at DESC, fact_id DESC, o_orderkey DESC) AS k FROM found) WHERE k = 1 AND verification_state = 'verified'", "found")
 def latest_verified(t: Inputs) -> DataFrame:
-    return facts.latest_facts(b.found(t).filter("o_orderkey < 9000")).filter("verification_state = 'verified'").select("symbol_era_id", "fact_id", "created_at", "o_orderkey")
+    return facts.latest_facts(b.found(t), order=[F.desc("o_orderkey")]).filter("verification_state = 'verified'").select("symbol_era_id", "fact_id", "created_at", "o_orderkey")
 
 
-@query("SELECT symbol_era_id, i.issuer, e.created_at AS event_date FROM (SELECT * FROM best WHERE o_orderkey % 2 = 0) i FULL JOIN (SELECT * FROM best WHERE o_orderkey % 3 = 0) e USING (symbol_era_id)", "best")
+@query("SELECT symbol_era_id, i.issuer, e.created_at AS event_date FROM (SELECT * FROM best WHERE batch <> 'F') i FULL JOIN (SELECT * FROM best WHERE batch <> 'O') e USING (symbol_era_id)", "best")
 def identities_and_events(t: Inputs) -> DataFrame:
     best = b.best(t)
-    return facts.identities_and_events(best.filter("o_orderkey % 2 = 0").select("symbol_era_id", "issuer"), best.filter("o_orderkey % 3 = 0").select("symbol_era_id", F.col("created_at").alias("event_date")))
+    return facts.identities_and_events(best.filter("batch <> 'F'").select("symbol_era_id", "issuer"), best.filter("batch <> 'O'").select("symbol_era_id", F.col("created_at").alias("event_date")))
 
 
-@query("SELECT fact_id, symbol_era_id, o_orderkey FROM found WHERE o_orderkey < 5000 UNION ALL SELECT fact_id, symbol_era_id, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY o_orderkey) AS k FROM found WHERE o_orderkey >= 5000) WHERE k = 1 AND fact_id NOT IN (SELECT fact_id FROM found WHERE o_orderkey < 5000)", "found")
+@query("SELECT fact_id, symbol_era_id, o_orderkey FROM found WHERE batch = 'F' UNION ALL SELECT fact_id, symbol_era_id, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY o_orderkey) AS k FROM found WHERE batch <> 'F') WHERE k = 1 AND fact_id NOT IN (SELECT fact_id FROM found WHERE batch = 'F')", "found")
 def fact_merge(t: Inputs) -> DataFrame:
-    rows = b.found(t).select("fact_id", "symbol_era_id", "o_orderkey")
-    return facts.merge(rows.filter("o_orderkey < 5000"), rows.filter("o_orderkey >= 5000"), [F.col("o_orderkey")])
+    rows = b.found(t).select("fact_id", "symbol_era_id", "o_orderkey", "batch")
+    return facts.merge(rows.filter("batch = 'F'"), rows.filter("batch <> 'F'"), [F.col("o_orderkey")]).drop("batch")
 
 
-@query("SELECT fact_id, symbol_era_id, o_orderkey FROM found WHERE o_orderkey < 5000 AND fact_id NOT IN (SELECT fact_id FROM found WHERE o_orderkey >= 5000) UNION ALL SELECT fact_id, symbol_era_id, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY o_orderkey DESC) AS k FROM found WHERE o_orderkey >= 5000) WHERE k = 1", "found")
+@query("SELECT fact_id, symbol_era_id, o_orderkey FROM found WHERE batch = 'F' AND fact_id NOT IN (SELECT fact_id FROM found WHERE batch <> 'F') UNION ALL SELECT fact_id, symbol_era_id, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY o_orderkey DESC) AS k FROM found WHERE batch <> 'F') WHERE k = 1", "found")
 def fact_replace(t: Inputs) -> DataFrame:
-    rows = b.found(t).select("fact_id", "symbol_era_id", "o_orderkey")
-    return facts.replace(rows.filter("o_orderkey < 5000"), rows.filter("o_orderkey >= 5000"), [F.col("o_orderkey")])
+    rows = b.found(t).select("fact_id", "symbol_era_id", "o_orderkey", "batch")
+    return facts.replace(rows.filter("batch = 'F'"), rows.filter("batch <> 'F'"), [F.col("o_orderkey")]).drop("batch")
 
 
-@query("SELECT fact_id, symbol_era_id FROM found f WHERE o_orderkey >= 300 AND NOT EXISTS (SELECT 1 FROM found s WHERE s.o_orderkey < 300 AND s.fact_id = f.fact_id) AND NOT EXISTS (SELECT 1 FROM found s WHERE s.o_orderkey < 300 AND s.symbol_era_id = f.symbol_era_id AND s.verification_state = 'verified')", "found")
+@query("SELECT fact_id, symbol_era_id FROM found f WHERE batch <> 'F' AND NOT EXISTS (SELECT 1 FROM found s WHERE s.batch = 'F' AND s.fact_id = f.fact_id) AND NOT EXISTS (SELECT 1 FROM found s WHERE s.batch = 'F' AND s.symbol_era_id = f.symbol_era_id AND s.verification_state = 'verified')", "found")
 def staged_additions(t: Inputs) -> DataFrame:
     rows = b.found(t)
-    return facts.staged_additions(rows.filter("o_orderkey < 300"), rows.filter("o_orderkey >= 300")).select("fact_id", "symbol_era_id")
+    return facts.staged_additions(rows.filter("batch = 'F'"), rows.filter("batch <> 'F'")).select("fact_id", "symbol_era_id")
 
 
 @query(

@@ -72,9 +72,9 @@ def best_record_per_day(t: Inputs) -> DataFrame:
     return files.best_record_per_day(_index(t))
 
 
-@query(f"SELECT DISTINCT day FROM ({_INDEX}) WHERE feed = 'P' AND day BETWEEN '19960101' AND '19981231' AND day NOT IN (SELECT strftime(l_shipdate, '%Y%m%d') FROM lineitem WHERE l_orderkey % 40 = 0)")
+@query(f"SELECT DISTINCT day FROM ({_INDEX}) WHERE feed = 'P' AND day BETWEEN '19960101' AND '19981231' AND day NOT IN (SELECT strftime(l_shipdate, '%Y%m%d') FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)")
 def missing_days(t: Inputs) -> DataFrame:
-    done = t.table("lineitem").filter("l_orderkey % 40 = 0").select(F.date_format("l_shipdate", "yyyyMMdd").alias("day"))
+    done = t.table("lineitem").filter("l_returnflag = 'R' and l_quantity >= 49").select(F.date_format("l_shipdate", "yyyyMMdd").alias("day"))
     return files.missing_days(_index(t), done, "P", "19960101", "19981231")
 
 
@@ -83,9 +83,9 @@ def index_summary(t: Inputs) -> DataFrame:
     return _index(t).groupBy("feed", "version").agg(F.count("*").alias("records"), F.count_distinct("day").alias("days"), F.sum("size_bytes").alias("bytes"))
 
 
-@query("SELECT day FROM (SELECT strftime(l_shipdate, '%Y%m%d') AS day, l_linestatus AS s FROM lineitem WHERE l_orderkey % 50 = 0) GROUP BY day HAVING count(DISTINCT s) = 2")
+@query("SELECT day FROM (SELECT strftime(l_shipdate, '%Y%m%d') AS day, l_quantity >= 48 AS s FROM lineitem) GROUP BY day HAVING count(DISTINCT s) = 2")
 def complete_days(t: Inputs) -> DataFrame:
-    rows = t.table("lineitem").filter("l_orderkey % 50 = 0").select(F.date_format("l_shipdate", "yyyyMMdd").alias("day"), F.when(F.col("l_linestatus") == "O", "main").otherwise("quote").alias("kind"))
+    rows = t.table("lineitem").select(F.date_format("l_shipdate", "yyyyMMdd").alias("day"), F.when(F.col("l_quantity") >= 48, "main").otherwise("quote").alias("kind"))
     return files.complete_days(rows)
 
 
@@ -217,12 +217,12 @@ def hit_triage(t: Inputs) -> DataFrame:
 
 @query(
     """SELECT symbol_era_id, CASE WHEN ciks > 1 THEN 'identity_collision_hold' WHEN ciks = 1 THEN 'identity_verified_ready' WHEN ev = 0 THEN 'identity_no_evidence' ELSE 'identity_weak_hold' END AS identity_bucket, ev AS evidence, ciks
-    FROM (SELECT e.symbol_era_id, count(o.o_orderkey) AS ev, count(DISTINCT o.o_custkey % 20) AS ciks FROM book e LEFT JOIN orders o ON e.symbol = 'X' || (o.o_custkey % 97) AND o.o_orderkey % 40 = 0
+    FROM (SELECT e.symbol_era_id, count(o.o_orderkey) AS ev, count(DISTINCT o.o_custkey % 20) AS ciks FROM book e LEFT JOIN orders o ON e.symbol = 'X' || (o.o_custkey % 97) AND o.o_orderpriority = '1-URGENT' AND o.o_orderstatus = 'F'
     AND CAST(o.o_orderdate AS DATE) BETWEEN strptime(e.first_day, '%Y%m%d')::DATE - 45 AND strptime(e.last_day, '%Y%m%d')::DATE + 90 GROUP BY 1)""",
     "book",
 )
 def identity_buckets(t: Inputs) -> DataFrame:
-    evidence = t.table("orders").filter("o_orderkey % 40 = 0").select(F.concat(F.lit("X"), (F.col("o_custkey") % 97).cast("string")).alias("ticker"), (F.col("o_custkey") % 20).cast("string").alias("cik"), F.to_date("o_orderdate").alias("filing_date"))
+    evidence = t.table("orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.concat(F.lit("X"), (F.col("o_custkey") % 97).cast("string")).alias("ticker"), (F.col("o_custkey") % 20).cast("string").alias("cik"), F.to_date("o_orderdate").alias("filing_date"))
     return worklists.identity_buckets(b.book(t), evidence).select("symbol_era_id", "identity_bucket", "evidence", "ciks")
 
 
@@ -238,9 +238,9 @@ def corroboration(t: Inputs) -> DataFrame:
     return facts.corroborated(rows, other, names.normal_issuer).select("symbol_era_id", "corroboration")
 
 
-@query("SELECT symbol_era_id, count(*) AS n, count(*) FILTER (o_orderkey % 6 = 0) AS invalid FROM found WHERE o_orderkey < 400 GROUP BY 1 HAVING count(*) > 1 OR count(*) FILTER (o_orderkey % 6 = 0) > 0", "found")
+@query("SELECT symbol_era_id, count(*) AS n, count(*) FILTER (o_orderkey % 6 = 0) AS invalid FROM found GROUP BY 1 HAVING count(*) > 1 OR count(*) FILTER (o_orderkey % 6 = 0) > 0", "found")
 def ledger_errors(t: Inputs) -> DataFrame:
-    rows = b.found(t).filter("o_orderkey < 400").withColumn("resolution_status", F.when(F.col("o_orderkey") % 6 == 0, "nonsense").otherwise("review_ready"))
+    rows = b.found(t).withColumn("resolution_status", F.when(F.col("o_orderkey") % 6 == 0, "nonsense").otherwise("review_ready"))
     return facts.ledger_errors(rows, ("review_ready", "manual_required"))
 
 
@@ -283,11 +283,11 @@ def profile_rates(t: Inputs) -> DataFrame:
     return out.select("stage", "rows", near("s", 2).alias("seconds"), near(F.try_divide(F.col("rows"), F.col("s")), 6).alias("rows_per_second"))
 
 
-@query("SELECT count(*) AS eras, count(*) FILTER (c IS NULL) AS only_decided, count(*) FILTER (d IS NULL) AS only_cohort FROM (SELECT DISTINCT symbol_era_id, 1 AS c FROM found WHERE o_orderkey < 300) FULL JOIN (SELECT DISTINCT symbol_era_id, 1 AS d FROM found WHERE o_orderkey BETWEEN 200 AND 500) USING (symbol_era_id)", "found")
+@query("SELECT count(*) AS eras, count(*) FILTER (c IS NULL) AS only_decided, count(*) FILTER (d IS NULL) AS only_cohort FROM (SELECT DISTINCT symbol_era_id, 1 AS c FROM found WHERE batch <> 'P') FULL JOIN (SELECT DISTINCT symbol_era_id, 1 AS d FROM found WHERE batch <> 'F') USING (symbol_era_id)", "found")
 def reconciliation(t: Inputs) -> DataFrame:
     rows = b.found(t)
-    cohort = rows.filter("o_orderkey < 300").select("symbol_era_id").distinct().withColumn("c", F.lit(1))
-    decided = rows.filter("o_orderkey between 200 and 500").select("symbol_era_id").distinct().withColumn("d", F.lit(1))
+    cohort = rows.filter("batch <> 'P'").select("symbol_era_id").distinct().withColumn("c", F.lit(1))
+    decided = rows.filter("batch <> 'F'").select("symbol_era_id").distinct().withColumn("d", F.lit(1))
     both = cohort.join(decided, "symbol_era_id", "full")
     return both.agg(F.count("*").alias("eras"), F.count_if(F.col("c").isNull()).alias("only_decided"), F.count_if(F.col("d").isNull()).alias("only_cohort"))
 
