@@ -1,11 +1,14 @@
 """Packing of token sequences by a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits one sequence. Multiplicative weights price
-the lengths, a knapsack dynamic program finds the configuration of most worth at these prices,
-and the configurations' fractional multiplicities are rounded down; what that leaves is packed
-best fit, longest first. All of it works on the histogram of at most ``capacity`` lengths, so
-its cost does not grow with the number of pieces. The rounded plan and plain best fit are both
-worked out and the one of fewer sequences is taken.
+the lengths, a knapsack dynamic program finds the configurations of most worth at these prices,
+and every length that is in such a configuration gets one. Rounds on the whole histogram settle
+the prices; the rounds that follow give each configuration a whole number of sequences, never
+more than what is left of its lengths, and price what remains. Only the last remainder, where no
+configuration of enough worth has all its pieces left, is packed best fit, longest first, and with it
+the pieces of configurations that rounding left with more than 1 to 5 percent of room, if that saves
+sequences. All of it works on the histogram of at most ``capacity`` lengths, so its cost does not
+grow with the number of pieces.
 
 Pieces are numbered within their length by a range sort, which splits lengths that many pieces
 share; the plan then tells each piece's sequence and place from its length and number.
@@ -27,9 +30,12 @@ from tapeline.llm import textbytes, wordtokens
 from tapeline.llm.storage import small_batches, staged
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights, and how much a round lowers a covered length's price.
-ROUNDS = 600
-RATE = 0.25
+#: Rounds that settle prices, and rounds at most that place pieces.
+PRICING, PLACING = 60, 150
+#: Share of a length's pieces that one round may place, how far that lowers its weight, and how near to the best worth is enough.
+SHARE, RATE, NEAR = 0.5, 0.03, 0.03
+#: Shares of a sequence's room beyond which rounding is tried again on its pieces.
+LOOSE = (1.0, 0.05, 0.03, 0.02, 0.01)
 
 Group = tuple[int, list[tuple[int, int]]]  # so many sequences, each of (length, count)
 
@@ -65,89 +71,99 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Group]:
     return [(bins, pattern) for groups in at.values() for bins, pattern in groups if pattern]
 
 
-def _knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """The multiset of lengths of most worth that fits, by dynamic programming over the room used."""
-    best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+def _knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each room: the most worth that fits it, a length to begin with, and the room at which that one is taken (none: 0)."""
+    best, taken, at = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), np.arange(capacity + 1)
+    upto = np.searchsorted(lengths, at, "right")
+    longest_first, worth_of = lengths[::-1].copy(), price[::-1].copy()
     for room in range(1, capacity + 1):
-        k = upto[room]
-        if k:
-            worth = best[room - lengths[:k]] + price[:k]
-            i = int(worth.argmax())
-            if worth[i] > best[room - 1]:
-                best[room], taken[room] = worth[i], lengths[i]
-                continue
-        best[room], taken[room] = best[room - 1], 0
-    used: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if length := int(taken[room]):
-            used[length] = used.get(length, 0) + 1
-            room -= length
+        skip = len(lengths) - upto[room]
+        worth = best[room - longest_first[skip:]] + worth_of[skip:]
+        i = int(worth.argmax()) if len(worth) else -1
+        if i >= 0 and worth[i] > best[room - 1]:
+            best[room], taken[room] = worth[i], longest_first[skip + i]
         else:
-            room -= 1
-    return sorted(used.items(), reverse=True)
+            best[room], at[room] = best[room - 1], at[room - 1]
+    return best, taken, at
+
+
+def _configuration(length: int, taken: np.ndarray, at: np.ndarray, capacity: int) -> dict[int, int]:
+    """The best configuration that holds ``length``: how many of each of its lengths."""
+    used, room = {length: 1}, int(at[capacity - length])
+    while piece := int(taken[room]):
+        used[piece] = used.get(piece, 0) + 1
+        room = int(at[room - piece])
+    return used
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations and multiplicities that cover every length at least once over."""
+def configurations(counts: np.ndarray, capacity: int) -> tuple[dict[tuple, int], np.ndarray, float]:
+    """Configurations with their numbers of sequences, the counts that are left, and a bound below all packings.
+
+    The bound is the program's dual value: any prices at which no configuration is worth more
+    than 1 are worth no more in all than the sequences that are needed.
+    """
     lengths = np.flatnonzero(counts)
-    need = counts[lengths].astype(float)
-    place = {int(x): i for i, x in enumerate(lengths)}
-    log_price = np.log(lengths / capacity)
-    covered, use = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        price = np.exp(log_price - log_price.max()) + 1e-12 * lengths
-        config = tuple(_knapsack(price, lengths, capacity))
-        at = np.array([place[x] for x, _ in config])
-        each = np.array([k for _, k in config], float)
-        step = float((need[at] / each).min())
-        use[config] = use.get(config, 0.0) + step
-        covered[at] += step * each / need[at]
-        log_price[at] -= RATE * step * each / need[at]
-    if (least := covered.min(initial=1.0)) <= 0:
-        for x in np.flatnonzero(covered <= 0):
-            config = ((int(lengths[x]), capacity // int(lengths[x])),)
-            use[config] = use.get(config, 0.0) + need[x] / config[0][1]
-            covered[x] = 1
-        least = covered.min()
-    return {c: x / least for c, x in use.items()}
+    need, left = counts[lengths], counts[lengths].copy()
+    log_weight, use, bound = np.zeros(len(lengths)), {}, 0.0
+    for turn in range(PRICING + PLACING):
+        placing = turn >= PRICING
+        stock = left if placing else need
+        some = np.flatnonzero(stock)
+        if not len(some):
+            break
+        here = lengths[some]
+        price = here * np.exp(log_weight[some] - log_weight[some].max())
+        best, taken, at = _knapsack(price, here, capacity)
+        if not placing:
+            bound = max(bound, float((need[some] * price).sum() / best[capacity]))
+        allowed = np.zeros(capacity + 1)
+        allowed[lengths] = np.ceil(stock * SHARE) if placing else stock * SHARE
+        before, placed = allowed[lengths], 0
+        worth = price + best[capacity - here]
+        for length in here[worth >= (1 - NEAR) * best[capacity]][::-1].tolist():
+            if allowed[length] <= 0:
+                continue
+            config = _configuration(length, taken, at, capacity)
+            bins = min(allowed[x] / k for x, k in config.items())
+            bins = int(bins) if placing else bins
+            if bins > 0:
+                for x, k in config.items():
+                    allowed[x] -= bins * k
+                if placing:
+                    key = tuple(sorted(config.items(), reverse=True))
+                    use[key] = use.get(key, 0) + bins
+                    placed += bins
+        done = before - allowed[lengths]
+        log_weight -= RATE * done / np.maximum(before, 1e-9) * (0.5 if placing else 1)
+        if placing:
+            left = left - done.astype(np.int64)
+            if not placed:
+                break
+    rest = np.zeros(capacity + 1, np.int64)
+    rest[lengths] = left
+    return use, rest, bound
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[Group]:
     """Groups of equal sequences that hold exactly ``counts``."""
-    plain = best_fit(counts, capacity)
     inner = counts.copy()
-    inner[capacity] = 0
-    if not inner.any():
-        return plain
-    left, groups = inner.copy(), []
-    for config, x in sorted(fractional(inner, capacity).items(), key=lambda c: -c[1] * sum(a * b for a, b in c[0])):
-        bins = min(int(x), min(int(left[length]) // k for length, k in config))
-        if bins:
-            groups.append((bins, list(config)))
-            for length, k in config:
-                left[length] -= bins * k
-    left[capacity] = counts[capacity]
-    rounded = _top_up(groups, left, capacity)
-    return min(rounded, plain, key=lambda g: sum(bins for bins, _ in g))
-
-
-def _top_up(groups: list[Group], left: np.ndarray, capacity: int) -> list[Group]:
-    """Puts short rest pieces into room that configurations leave, and packs the others best fit."""
-    out = []
-    for bins, pattern in groups:
-        room = capacity - sum(a * k for a, k in pattern)
-        pattern = list(pattern)
-        while room > 0:
-            able = [x for x in np.flatnonzero(left[: room + 1] >= bins)[::-1][:1].tolist() if x > 0]
-            if not able:
-                break
-            left[able[0]] -= bins
-            pattern.append((able[0], 1))
-            room -= able[0]
-        out.append((bins, pattern))
-    return out + best_fit(left, capacity)
+    inner[capacity] = 0  # these fill their sequences alone
+    use, rest, _ = configurations(inner, capacity)
+    whole = [(int(counts[capacity]), [(capacity, 1)])] if counts[capacity] else []
+    placed = [(bins, list(config)) for config, bins in use.items()]
+    return whole + min((_remade(placed, rest, capacity, room) for room in LOOSE), key=lambda g: sum(bins for bins, _ in g))
+
+
+def _remade(groups: list[Group], rest: np.ndarray, capacity: int, room: float) -> list[Group]:
+    """The groups with at most this share of room; the remainder and the pieces of the others packed best fit."""
+    rest, kept = rest.copy(), []
+    for bins, config in groups:
+        if capacity - sum(x * k for x, k in config) <= room * capacity:
+            kept.append((bins, config))
+        else:
+            for x, k in config:
+                rest[x] += bins * k
+    return kept + best_fit(rest, capacity)
 
 
 def _places(groups: list[Group], capacity: int) -> tuple[np.ndarray, ...]:

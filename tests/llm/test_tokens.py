@@ -158,10 +158,27 @@ def test_plans_hold_the_histogram(lengths):
         assert (held == counts).all()
 
 
+def _used(groups):
+    return sum(bins for bins, _ in groups)
+
+
 def test_plans_are_as_good_as_can_be():
     counts = np.zeros(101, np.int64)
     counts[[60, 40, 50, 35, 30]] = [100, 100, 50, 60, 60]
-    assert sum(b for b, _ in packing.plan(counts, 100)) <= 1.02 * -(-int((counts * np.arange(101)).sum()) // 100) + 1
+    assert _used(packing.plan(counts, 100)) <= 1.02 * -(-int((counts * np.arange(101)).sum()) // 100) + 1
+
+
+def test_the_program_and_not_best_fit_makes_the_plan():
+    g = np.random.default_rng(1)
+    thirds = np.bincount(g.integers(400, 700, 100_000), minlength=2049)  # best fit wastes here what the program does not
+    use, rest, bound = packing.configurations(thirds, 2048)
+    assert all(sum(a * k for a, k in c) <= 2048 for c in use)
+    assert (rest * np.arange(2049)).sum() < 0.3 * (thirds * np.arange(2049)).sum()
+    assert bound <= _used(packing.plan(thirds)) < 0.97 * _used(packing.best_fit(thirds, 2048))
+    wide = np.bincount(g.integers(1, 2048, 1_000_000), minlength=2049) * 1000
+    use, rest, bound = packing.configurations(wide, 2048)
+    assert (rest * np.arange(2049)).sum() < 0.1 * (wide * np.arange(2049)).sum()
+    assert _used(packing.plan(wide)) <= 1.005 * bound
 
 
 def _check_packing(words, rows, out, capacity):
