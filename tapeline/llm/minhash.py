@@ -2,13 +2,16 @@
 
 One hash function orders all shingles; a document's sketch is its ``k`` smallest hashes.
 Documents of one shingle set are collapsed first. Two linked sets share at least half of their
-retained values (the chance of less is 3e-5 at a similarity of 0.8 and 6e-7 at 0.85, and none
-for sets that the sketch holds whole), so their prefixes of ``k - k / 2 + 1`` retained values, rarest first, meet in an inverted list; values
-of a passage that many documents share come last and stay out of the lists of documents that
-are more than that passage. Lists with the same centre form a group. Every member is compared
-with its centre, by the sketch of the union and then on full sets. Members that this leaves in
-different components are compared among themselves: small groups as pairs, large ones in
-blocks that return a spanning forest and never the pairs.
+retained values (the chance of less is 3e-5 at a similarity of 0.8 and 6e-7 at 0.85), so their
+prefixes of ``k - k / 2 + 1`` retained values, rarest first, meet in an inverted list. A set so
+small that the sketches of all sets it can be linked with hold them whole must share as much of
+itself as the threshold says, and its prefix is shorter: short texts of one template meet only if
+what differs between them leaves enough in common. Values of a passage that many documents share
+come last and stay out of the lists of documents that are more than that passage. Lists with the
+same centre form a group. Every member is compared with its centre, by the sketch of the union
+and then on full sets. Members that this leaves in different components are compared among
+themselves: small groups as pairs, large ones in blocks, bounded in sets and in shingles, that
+return a spanning forest and never the pairs.
 
 Nulls, empty texts and texts without words have the empty set and link with nothing; rows
 without a doc_id likewise (their component is null, and they are kept). Repeated rows and
@@ -32,8 +35,8 @@ SHINGLE = 5
 K = 32
 #: Groups of up to this many sets are compared as pairs, larger ones in blocks.
 SMALL = 32
-#: Shingles in a block of a large group, on average.
-BLOCK = 400_000
+#: Shingles and sets in a block of a large group, on average.
+BLOCK, ROWS = 400_000, 4096
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -170,11 +173,14 @@ def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, percent: in
     found = tokens.join(spread, "v").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("common"))
     rare_first = classes.select("cid", F.size("sketch").alias("k")).join(found, "cid")
     # values that no other set retains come first; the prefix goes on with the rarest of the rest
-    left = F.col("k") - F.floor(F.col("k") / 2) + 1 - (F.col("k") - F.size("common"))
+    k = F.col("k")
+    least = F.when(100 * k <= percent * K, F.ceil(percent * k / 100)).otherwise(F.floor(k / 2))
+    left = F.size("common") - least + 1
     prefix = rare_first.filter(left > 0).select("cid", F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("weight"), F.explode(F.slice("common", 1, left.cast("int"))).alias("x"))
     posts = staged(prefix.select(F.col("x.v").alias("v"), "cid", "weight"), "posts")
     centres = posts.groupBy("v").agg(F.count("*").alias("size"), F.max(F.struct("weight", -F.col("cid"))).alias("best")).filter("size > 1")
-    centres = centres.select("v", (-F.col("best.col2")).alias("centre"))
+    # written before it is joined, so that the join has two plain inputs and frequent values can be split
+    centres = staged(centres.select("v", (-F.col("best.col2")).alias("centre")), "centres")
     groups = staged(posts.select("v", "cid").join(centres, "v").select("centre", "cid").distinct(), "groups")
 
     slim = classes.select("cid", "n", "sketch")
@@ -190,9 +196,9 @@ def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, percent: in
 
     known = components(links)
     named = groups.join(known, groups["cid"] == known["node"], "left").select("centre", "cid", F.coalesce("component", "cid").alias("comp"))
-    named = named.join(slim.select("cid", "n"), "cid")
+    named = staged(named.join(slim.select("cid", "n"), "cid"), "named")
     mixed = named.groupBy("centre").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("lo != hi").drop("lo", "hi")
-    rest = staged(named.join(mixed, "centre"), "rest")
+    rest = staged(named.join(staged(mixed, "mixed"), "centre"), "rest")
 
     small = rest.filter(F.col("size") <= SMALL).select("centre", "cid", "comp", "n")
     pairs = small.alias("x").join(small.alias("y"), "centre").filter("x.cid < y.cid and x.comp != y.comp and x.cid != centre and y.cid != centre")
@@ -201,7 +207,7 @@ def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, percent: in
     pairs = pairs.join(slim.alias("x"), F.col("a") == F.col("x.cid")).join(slim.alias("y"), F.col("b") == F.col("y.cid"))
     by_pairs = _verified(pairs.filter(_alike("x", "y", percent)).select("a", "b"), sets, percent)
 
-    large = rest.filter(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("long"))
+    large = rest.filter(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.greatest(F.col("total") / BLOCK, F.col("size") / ROWS)).cast("long"))
     large = large.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).join(sets, "cid")
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     large = large.select("centre", "cid", "comp", "shingles", "block", others.alias("other"))
@@ -238,18 +244,20 @@ def kept_only(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, unchanged.
 
     Most rows are passed without a shuffle: only those whose doc_id falls on a bit that a dropped
-    one has set (a table of 2 MB at most, whatever the number of rows) are joined exactly.
+    one has set (a table of 2 MB at most, whatever the number of rows) are joined exactly. Rows
+    travel as one struct, so that no column's name can clash.
     """
     dropped = staged(near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct(), "dropped")
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(idfilter.BITS))
-    bits = dropped.select(F.floor(bit / 64).alias("_at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {idfilter.BITS}) % 64 as int))").alias("_bit"))
-    bits = F.broadcast(bits.groupBy("_at").agg(F.expr("bit_or(_bit)").alias("_bits")))
-    marked = docs.join(bits, F.floor(bit / 64) == F.col("_at"), "left")
-    doubt = F.expr(f"coalesce(getbit(_bits, cast(pmod(xxhash64(cast(doc_id as bigint)), {idfilter.BITS}) % 64 as int)) = 1, false)")
-    sure = marked.filter(~doubt).select(*docs.columns)
-    unsure = marked.filter(doubt).select(*docs.columns)
-    gone = dropped.select(F.col("doc_id").alias("_gone"))
-    return sure.unionByName(unsure.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti"))
+    place = f"pmod(xxhash64(doc_id), {idfilter.BITS})"
+    bits = dropped.select(F.expr(f"{place} div 64").alias("word"), F.expr(f"shiftleft(1L, cast({place} % 64 as int))").alias("bit"))
+    bits = F.broadcast(bits.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = rows.withColumns({"word": F.expr(f"{place} div 64"), "at": F.expr(f"cast({place} % 64 as int)")})
+    marked = rows.join(bits, "word", "left")
+    doubt = F.expr("coalesce(getbit(bits, at) = 1, false)")
+    sure = marked.filter(~doubt).select("row")
+    unsure = marked.filter(doubt).select("row", "doc_id").join(dropped, "doc_id", "left_anti").select("row")
+    return sure.unionByName(unsure).select("row.*")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

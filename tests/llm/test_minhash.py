@@ -60,10 +60,11 @@ def _corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "percent", "small"), [(1, 85, 32), (2, 80, 2), (3, 90, 32)])
-def test_against_all_pairs(documents, monkeypatch, seed, percent, small):
+@pytest.mark.parametrize(("seed", "percent", "small", "rows"), [(1, 85, 32, 4096), (2, 80, 2, 4096), (3, 90, 32, 4096), (4, 80, 2, 7)])
+def test_against_all_pairs(documents, monkeypatch, seed, percent, small, rows):
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "BLOCK", 1500)
+    monkeypatch.setattr(minhash, "ROWS", rows)
     texts = _corpus(seed)
     ids = random.Random(seed).sample(range(-500, 1500), len(texts))
     got = _got(minhash.near_duplicates(documents(list(zip(ids, texts, strict=True))), percent))
@@ -88,3 +89,54 @@ def test_empty_table(documents):
 def test_lower_similarities_are_refused(documents):
     with pytest.raises(ValueError, match="0.8"):
         minhash.near_duplicates(documents([]), 70)
+
+
+def _short(seed):
+    """Short texts of a few templates, sizes about those at which sketches hold sets whole."""
+    g = random.Random(seed)
+    texts = []
+    for n in (3, 6, 9, 20, 25, 28, 31, 34, 38, 44):
+        base = [f"t{n}x{i}" for i in range(n)]
+        for _ in range(14):
+            copy = list(base)
+            for _ in range(g.randint(0, 2)):
+                copy[g.choice([0, -1, g.randrange(n)])] = f"z{g.randrange(50)}"
+            texts.append(" ".join(copy + [f"e{g.randrange(9)}"] * g.randint(0, 2)))
+    return texts
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_short_sets_against_all_pairs(documents, percent):
+    texts = _short(percent)
+    got = _got(minhash.near_duplicates(documents(list(enumerate(texts))), percent))
+    assert got == _expected(list(range(len(texts))), texts, percent)
+
+
+def test_short_texts_of_one_template_are_not_compared_with_each_other(documents, monkeypatch):
+    met = []
+    staged = minhash.staged
+    monkeypatch.setattr(minhash, "staged", lambda df, name: met.append(name) or staged(df, name) if name != "groups" else met.append(df.count()) or staged(df, name))
+    rows = [(k, f"Thank you for your order number {k}") for k in range(3000)]
+    out = minhash.near_duplicates(documents(rows), 85)
+    assert out.filter("kept and component_id = doc_id and n_shingles = 3").count() == 3000
+    assert [n for n in met if isinstance(n, int)] == [0]
+
+
+def test_a_block_of_many_small_sets_needs_little_memory():
+    import pyarrow as pa
+
+    n = minhash.ROWS
+    key = tuple(pa.scalar(x) for x in (7, 0, 0))
+    shingles = [[1, 2, 3, 10 + k] for k in range(n)]
+    table = pa.table({"cid": list(range(n)), "comp": list(range(n)), "shingles": shingles, "side": [0] * n})
+    assert minhash._forest(80)(key, table).num_rows == 0
+    shingles[5] = shingles[9] = [1, 2, 3, 4, 5]
+    table = table.set_column(2, "shingles", pa.array(shingles))
+    assert minhash._forest(80)(key, table).to_pydict() == {"a": [5], "b": [9]}
+
+
+def test_filtering_keeps_columns_of_any_name(documents):
+    df = documents([(1, "a b c d e f"), (2, "a b c d e f"), (None, "x")]).selectExpr("*", "7 as _at", "8 as _bits", "9 as _gone", "1 as row", "2 as word", "3 as bits", "4 as at")
+    out = minhash.kept_only(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "None"]
