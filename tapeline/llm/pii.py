@@ -1,22 +1,27 @@
 """Personal data by patterns, and by contexts learnt from them; DataFrame operations only.
 
 Four kinds are matched directly: email, ip, card and phone. These, and long hexadecimal keys,
-are the seeds of a bootstrap: a lexical pattern is a label with its sign ("token =",
-"password="), an instance is the identifier that follows one. Patterns and instances form a
-graph; in each round a pattern's score is the mean score of its different instances, an
-instance's score is the chance that one of its patterns is right, and all patterns of enough
-score and support join the lexicon, until a round adds none. The lexicon is a staged table, joined
-on the labels that a text holds. What follows a pattern of the lexicon is personal data too, seen
-before or not, unless it overlaps a direct match.
+are the seeds of a bootstrap. A lexical pattern is what stands before an identifier: a label with
+its sign ("token =", "password="), or the two words before it ("badge number"). An instance is the
+identifier. Patterns and instances form a graph. In each round a pattern's score is the mean of its
+different instances' scores; to a pattern, an instance is worth 1 if it is a seed, and else the
+chance that one of its other patterns in the lexicon is right. All patterns of enough score and
+support make the next lexicon,
+until a round adds none and changes no score by a hundredth. The lexicon is a staged table. What follows a pattern of the lexicon is
+personal data too, seen before or not; it is looked for in what the direct matches, blanked out
+one kind after the other, leave of a text.
 
 Places are code points. They come from splitting a text at marks put around each match, so no
-rows are multiplied. The mark is U+FFFF, a noncharacter; where a text holds one, U+FFFD is
+rows are multiplied, and are added up in blocks, so that the work is in proportion to the number
+of matches in a text. The mark is U+FFFF, a noncharacter; where a text holds one, U+FFFD is
 read in its place. A null or empty text has no spans. Rows without a doc_id and repeated rows
 are treated like any other. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +42,19 @@ LABEL = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{1,30}+" + _SIGN
 _IDENTIFIER = r"(?=[A-Za-z._@+/-]*+[0-9])[A-Za-z0-9+][A-Za-z0-9._@+/-]{4,}+"
 #: No identifier is what is itself a label with an identifier of its own: that one is matched.
 VALUE = _IDENTIFIER + r"(?!(?<=(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{1,30})" + _SIGN + _IDENTIFIER + ")"
+#: Two words, and an identifier or what is written like a telephone number.
+WORDS = r"(?<![A-Za-z0-9_])[A-Za-z]{1,20}+\x20[A-Za-z]{1,20}+\x20"
+CONTEXT = f"(?:{LABEL}{VALUE}|{WORDS}(?:{PHONE}|{VALUE}))"
+_BEFORE = f"^(?:{LABEL}|{WORDS})"
 
 #: What a pattern needs to join the lexicon: good instances, and their mean score.
 SEEDS, SURE = 3, 0.6
+#: The most that one pattern alone vouches for an instance.
+MOST = 0.95
+#: Patterns that are written into a plan; more are joined.
+FEW = 1000
+#: Numbers that are added up in one go.
+RUN = 128
 
 KINDS = ("email", "ip", "card", "phone")
 _SPANS = "array<struct<s:int,e:int,v:string>>"
@@ -50,16 +65,43 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers of a bound array.
+
+    An array grows by being copied, so blocks are added up apart: no array that grows is longer
+    than a block, or than the number of blocks.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def block(b: Column) -> Column:
+        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out"))
+        return F.aggregate(F.slice(lengths, b * RUN + 1, F.lit(RUN)), zero, step)
+
+    def joined(blocks: Column) -> Column:
+        step = lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        before = F.aggregate(blocks, zero, step, lambda a: a["out"])
+        return F.flatten(F.zip_with(blocks, before, lambda x, base: F.transform(x["out"], lambda v: v + base)))
+
+    return _bound(F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int")), block), joined)
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    none = F.array().cast(_SPANS)
+    """Array of (s, e, v): start, end and text of each match."""
+
+    def of(pieces: Column) -> Column:
+        def cut(ends: Column) -> Column:
+            one = lambda i: F.struct(F.get(ends, i - 1).alias("s"), F.get(ends, i).alias("e"), F.get(pieces, i).alias("v"))
+            return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), one)
 
-    def step(a: Column, x: Column) -> Column:
-        end = a["at"] + F.length(x)
-        one = F.array(F.struct(a["at"].alias("s"), end.alias("e"), x.alias("v")))
-        return F.struct(end.alias("at"), (~a["hit"]).alias("hit"), F.when(a["hit"], F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+        places = _bound(F.transform(pieces, lambda x: F.length(x)), lambda n: _bound(_running(n), cut))
+        return F.when(F.size(pieces) > 2, places).otherwise(F.array().cast(_SPANS))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
-    return F.aggregate(_pieces(text, pattern), begin, step, lambda a: a["out"])
+    return _bound(_pieces(text, pattern), of)
 
 
 def _ip_valid(v: Column) -> Column:
@@ -107,88 +149,111 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def _label(text: Column) -> Column:
-    """A pattern's name: the label in lower case and its sign, without spaces or quotation marks."""
-    return F.lower(F.regexp_replace(text, r"[\x20\"']", ""))
+def _value(found: Column) -> Column:
+    return F.regexp_replace(found, _BEFORE, "")
 
 
-def _value(labelled: Column) -> Column:
-    return F.regexp_extract(labelled, f"^(?:{LABEL})(.*)$", 1)
+def _name(found: Column) -> Column:
+    """A pattern's name: the words, or the label and its sign without spaces or quotation marks, in lower case."""
+    before = F.regexp_extract(found, _BEFORE, 0)
+    return F.lower(F.rtrim(F.regexp_replace(before, r"\x20?([:=#])\x20?[\"']?$", "$1")))
 
 
-def _name(labelled: Column) -> Column:
-    return _label(F.regexp_extract(labelled, f"^({LABEL})", 1))
+def _is_seed(v: Column) -> Column:
+    whole = lambda pattern: v.rlike(f"^(?:{pattern})$")
+    base = whole(EMAIL) | (whole(IP) & _ip_valid(v)) | (whole(CARD) & _card_valid(v)) | (whole(PHONE) & _phone_valid(v))
+    return base | (whole(KEY) & v.rlike("[a-f]") & v.rlike("[0-9]"))
 
 
 def learnt(docs: DataFrame) -> DataFrame:
-    """Staged table of the patterns whose instances are personal data.
+    """Staged table of the patterns whose instances are personal data, with their scores (sure).
 
-    Scores only grow as patterns join, so the lexicon does not depend on the order in which they do.
+    Scores only grow from round to round, so the lexicon does not depend on the order in which
+    patterns join. Patterns of fewer instances than the lexicon asks for are left out beforehand.
     """
     text = _clean(F.col("text"))
-    found = docs.select(text.alias("t")).filter(F.col("t").rlike("[:=#]"))
-    found = found.select(F.explode(F.regexp_extract_all("t", F.lit(LABEL + VALUE), F.lit(0))).alias("x"))
-    found = found.select(_name(F.col("x")).alias("pattern"), _value(F.col("x")).alias("instance"))
+    found = docs.select(text.alias("t")).filter(F.col("t").rlike("[0-9]"))
+    found = found.select(F.explode(F.regexp_extract_all("t", F.lit(CONTEXT), F.lit(0))).alias("x"))
     # copies of a document add nothing: instances count once per pattern
-    graph = found.distinct()
-    v = F.col("instance")
-    seed = v.rlike(f"^{EMAIL}$") | (v.rlike(f"^{IP}$") & _ip_valid(v)) | (v.rlike(f"^{CARD}$") & _card_valid(v)) | (v.rlike(f"^{PHONE}$") & _phone_valid(v))
-    seed = seed | (v.rlike(f"^{KEY}$") & v.rlike("[a-f]") & v.rlike("[0-9]"))
-    graph = staged(graph.withColumn("seed", seed.cast("double")), "pattern-graph")
-    known = staged(graph.select("pattern").limit(0), "lexicon")
+    graph = found.select(_name(F.col("x")).alias("pattern"), _value(F.col("x")).alias("instance")).distinct()
+    graph = staged(graph.withColumn("seed", _is_seed(F.col("instance"))), "pattern-instances")
+    sizes = graph.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds")).filter(F.col("n") >= SEEDS)
+    sizes = staged(sizes, "pattern-sizes")
+    unsure = staged(graph.filter("not seed").join(sizes, "pattern").select("pattern", "instance"), "unsure-instances")
+    known, state = staged(sizes.select("pattern", F.lit(0.0).alias("sure")).limit(0), "lexicon"), None
     while True:
-        edges = graph.join(known.withColumn("right", F.lit(0.9)), "pattern", "left")
-        scored = edges.groupBy("instance").agg(F.greatest(F.max("seed"), F.max("right")).alias("score"))
-        patterns = graph.join(scored, "instance").groupBy("pattern").agg(F.avg("score").alias("sure"), F.sum((F.col("score") > 0.5).cast("long")).alias("support"))
-        good = patterns.filter((F.col("support") >= SEEDS) & (F.col("sure") >= SURE)).select("pattern")
-        fresh = staged(good.join(known, "pattern", "left_anti"), "lexicon-round")
-        if fresh.isEmpty():
+        doubts = known.select("pattern", (1 - F.least("sure", F.lit(MOST))).alias("doubt"))
+        told = unsure.join(doubts, "pattern").groupBy("instance").agg(F.exp(F.sum(F.log("doubt"))).alias("all"))
+        edges = unsure.join(staged(told, "instance-doubts"), "instance").join(doubts, "pattern", "left")
+        score = 1 - F.col("all") / F.coalesce("doubt", F.lit(1.0))
+        reached = edges.groupBy("pattern").agg(F.sum(score).alias("more"), F.count_if(score > 0.5).alias("good"))
+        zero = F.lit(0)
+        patterns = sizes.join(reached, "pattern", "left").select(
+            "pattern", F.round((F.col("seeds") + F.coalesce("more", zero)) / F.col("n"), 9).alias("sure"), (F.col("seeds") + F.coalesce("good", zero)).alias("support")
+        )
+        known = staged(patterns.filter((F.col("support") >= SEEDS) & (F.col("sure") >= SURE)).select("pattern", "sure"), "lexicon")
+        before, state = state, known.agg(F.count("*"), F.sum(F.floor(100 * F.col("sure")))).first()
+        if state == before:
             return known
-        known = staged(known.unionByName(fresh), "lexicon")
 
 
 def lexicon(docs: DataFrame) -> list[str]:
-    """The patterns of ``learnt`` in order, for looking at; operators join the table."""
+    """The patterns of ``learnt`` in order, for looking at; operators use the table."""
     return sorted(r["pattern"] for r in learnt(docs).collect())
 
 
-def _with_known(rows: DataFrame, patterns: DataFrame | list[str]) -> DataFrame:
-    """``rows`` with ``known``: those of a row's ``names`` that the lexicon holds, null for none.
+def _tested(rows: DataFrame, patterns: DataFrame | list[str], names: Column) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``rows``, and what tells whether a name is in the lexicon; ``names`` are those that a row asks for.
 
-    Rows meet the lexicon by their set of names, so that none is multiplied. Rows without names get
-    keys that meet nothing, dealt by their text ``t``.
+    A lexicon of up to ``FEW`` patterns is part of the plan. Beyond that, rows meet the table by
+    their set of names, so that none is multiplied; rows without names get keys that meet nothing,
+    dealt by their text ``t``.
     """
+    few = patterns if isinstance(patterns, list) else [r["pattern"] for r in patterns.select("pattern").limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        return rows, lambda name: name.isin(few) if few else F.lit(False)
     if isinstance(patterns, list):
-        patterns = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, patterns)).cast("array<string>")).alias("pattern"))
-    some, key = F.size("names") > 0, F.array_join("names", " ")
+        patterns = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, patterns))).alias("pattern"))
+    rows = rows.withColumn("names", F.array_sort(F.array_distinct(names)))
+    some, key = F.size("names") > 0, F.array_join("names", MARK)
     sets = rows.filter(some).select("names").distinct()
-    known = sets.select(key.alias("key"), F.explode("names").alias("pattern")).join(patterns, "pattern")
+    known = sets.select(key.alias("key"), F.explode("names").alias("pattern")).join(patterns.select("pattern"), "pattern")
     known = staged(known.groupBy("key").agg(F.collect_set("pattern").alias("known")), "known-names")
-    none = F.concat(F.lit(" "), F.xxhash64("t").cast("string"))
-    return rows.withColumn("key", F.when(some, key).otherwise(none)).join(known, "key", "left")
+    none = F.concat(F.lit(MARK), F.xxhash64("t").cast("string"))
+    rows = rows.withColumn("key", F.when(some, key).otherwise(none)).join(known, "key", "left")
+    return rows, lambda name: F.coalesce(F.array_contains("known", name), F.lit(False))
 
 
-def _context_hits(text: Column) -> Column:
-    """Spans of the identifiers that follow any label, each with the pattern's name."""
+def _replaced(rows: DataFrame, column: str, by: Callable[[str, Column], Column]) -> DataFrame:
+    """``column`` with the valid matches of each kind replaced, one kind after the other."""
+    t = F.col(column)
 
-    def cut(x: Column) -> Column:
-        return F.struct(x["e"].alias("e"), _value(x["v"]).alias("v"), _name(x["v"]).alias("name"))
+    def without(kind: str) -> Column:
+        pattern, may, valid = _RULES[kind]
+        pieces = F.transform(_pieces(t, pattern), lambda x, i: F.when((i % 2 == 1) & valid(x), by(kind, x)).otherwise(x))
+        return F.when(may(t), F.array_join(pieces, "")).otherwise(t)
 
-    hits = F.transform(_spans(text, LABEL + VALUE), cut)
-    hits = F.transform(hits, lambda x: F.struct((x["e"] - F.length(x["v"])).alias("s"), x["e"].alias("e"), x["v"].alias("v"), x["name"].alias("name")))
-    return F.when(text.rlike("[:=#]"), hits).otherwise(F.array().cast("array<struct<s:int,e:int,v:string,name:string>>"))
+    for kind in KINDS:
+        rows = rows.withColumn(column, without(kind))
+    return rows
 
 
 def detected(docs: DataFrame, patterns: DataFrame | list[str]) -> DataFrame:
     """doc_id and arrays of (s, e, v): email, ip, card, phone and context."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _clean(F.col("text")).alias("t"))
-    t = F.col("t")
-    rows = rows.withColumn("hits", _context_hits(t)).withColumn("names", F.array_sort(F.array_distinct(F.col("hits.name"))))
-    rows = _with_known(rows.select("doc_id", "t", *[x.alias(k) for k, x in base_spans(t).items()], "hits", "names"), patterns)
-    taken = F.concat(*KINDS)
-    sure = F.filter("hits", lambda x: F.coalesce(F.array_contains("known", x["name"]), F.lit(False)))
-    alone = F.filter(sure, lambda x: ~F.exists(taken, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    context = F.transform(alone, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+    rows = rows.select("doc_id", "t", *[x.alias(k) for k, x in base_spans(F.col("t")).items()], F.col("t").alias("rest"))
+    rows = _replaced(rows, "rest", lambda kind, x: F.repeat(F.lit(STAND_IN), F.length(x)))
+
+    def cut(x: Column) -> Column:
+        value = _value(x["v"])
+        return F.struct((x["e"] - F.length(value)).alias("s"), x["e"].alias("e"), value.alias("v"), _name(x["v"]).alias("name"))
+
+    hits = F.transform(_spans(F.col("rest"), CONTEXT), cut)
+    none = F.array().cast("array<struct<s:int,e:int,v:string,name:string>>")
+    rows = rows.withColumn("hits", F.when(F.col("rest").rlike("[0-9]"), hits).otherwise(none)).drop("rest")
+    rows, known = _tested(rows, patterns, F.col("hits.name"))
+    sure = F.filter("hits", lambda x: known(x["name"]))
+    context = F.transform(sure, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
     return rows.select("doc_id", *KINDS, context.alias("context"))
 
 
@@ -198,25 +263,18 @@ def _written(kind: str) -> Column:
 
 def masked(docs: DataFrame, patterns: DataFrame | list[str]) -> DataFrame:
     """The rows of ``docs`` with personal data replaced by the kind's name in brackets, and n_chars made to fit."""
-
-    def hide(text: Column, pattern: str, may: Column, tag: str, valid) -> Column:
-        pieces = F.transform(_pieces(text, pattern), lambda x, i: F.when((i % 2 == 1) & valid(x), F.lit(tag)).otherwise(x))
-        return F.when(may, F.array_join(pieces, "")).otherwise(text)
-
     names = docs.columns
     t = F.col("t")
     # other columns apart: their names may be those used here
     rows = docs.select(F.struct(*[c for c in names if c != "text"]).alias("row"), F.when(F.col("text").isNotNull(), _clean(F.col("text"))).alias("t"))
-    for kind, (pattern, may, valid) in _RULES.items():
-        rows = rows.withColumn("t", hide(t, pattern, may(t), f"[{kind.upper()}]", valid))
-    pieces = F.when(t.rlike("[:=#]"), _pieces(t, LABEL + VALUE)).when(t.isNotNull(), F.array("t")).otherwise(F.array().cast("array<string>"))
+    rows = _replaced(rows, "t", lambda kind, x: F.lit(f"[{kind.upper()}]"))
+    pieces = F.when(t.rlike("[0-9]"), _pieces(t, CONTEXT)).when(t.isNotNull(), F.array("t")).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("pieces", pieces)
-    labels = F.transform(F.filter("pieces", lambda x, i: i % 2 == 1), _name)
-    rows = _with_known(rows.withColumn("names", F.array_sort(F.array_distinct(labels))), patterns)
+    rows, known = _tested(rows, patterns, F.transform(F.filter("pieces", lambda x, i: i % 2 == 1), _name))
 
     def secret(x: Column, i: Column) -> Column:
-        tag = F.concat(F.regexp_extract(x, f"^({LABEL})", 1), F.lit("[SECRET]"))
-        return F.when((i % 2 == 1) & F.array_contains("known", _name(x)), tag).otherwise(x)
+        tag = F.concat(F.regexp_extract(x, _BEFORE, 0), F.lit("[SECRET]"))
+        return F.when((i % 2 == 1) & known(_name(x)), tag).otherwise(x)
 
     text = F.when(F.size("pieces") > 0, F.array_join(F.transform("pieces", secret), ""))
     out = rows.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names])

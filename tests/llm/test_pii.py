@@ -75,7 +75,7 @@ def test_the_bootstrap_goes_on_until_a_round_adds_none(documents):
     rows = []
     for k in range(8):
         label, before = f"lab{chr(97 + k)}: ", f"{chr(96 + k)}"
-        rows += [f"{label}u{j}@example.org" for j in range(4 if k else 7)]
+        rows += [f"{label}u{j}@example.org" for j in range(5 if k else 7)]
         rows += [f"{label}{before}{j}secret" for j in range(3 if k else 0)] + [f"{label}{chr(97 + k)}{j}secret" for j in range(3)]
     assert pii.lexicon(documents(list(enumerate(rows)))) == [f"lab{chr(97 + k)}:" for k in range(8)]
 
@@ -100,6 +100,59 @@ def test_a_label_after_a_label_keeps_its_identifier(documents):
     assert pii.lexicon(learn) == ["api_key="]
 
 
+@pytest.mark.parametrize("run", [2, 3, 128])
+def test_places_in_texts_of_many_matches(documents, monkeypatch, run):
+    monkeypatch.setattr(pii, "RUN", run)
+    texts = ["", "a@b.cc", "é 1.2.3.4 " * 9, "x@y.zz 😀 " * 260, " ".join(f"n{k}@m{k}.org" for k in range(513))]
+    assert [s["email"] + s["ip"] for s in _spans(documents(list(enumerate(texts))))] == [base(t)["email"] + base(t)["ip"] for t in texts]
+
+
+def test_work_grows_with_the_number_of_matches(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "a@b.cc token=x12345 " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = pii.detected(docs, ["token="]).first()
+        assert (len(row["email"]), len(row["context"])) == (n, n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 40
+
+
+def test_two_words_before_known_data_find_unknown_data(documents):
+    rows = [(k, f"her badge number p{k}@example.org ends") for k in range(4)] + [(10, "his badge number 77-abc-1 is new, the room number 12-345 is not")]
+    rows += [(20 + k, f"call me at +1 (386) 555-373{k} now, or call me at desk{k}5x") for k in range(4)]
+    df = documents(rows)
+    assert pii.lexicon(df) == ["badge number"]
+    got = {r["doc_id"]: [x["v"] for x in r["context"]] for r in pii.detected(df, pii.learnt(df)).collect()}
+    assert got[10] == ["77-abc-1"] and got[0] == [] and got[20] == []
+    assert pii.masked(df, ["badge number"]).filter("doc_id = 10").first()["text"] == "his badge number [SECRET] is new, the room number 12-345 is not"
+
+
+def test_instances_carry_the_scores_of_their_patterns(documents):
+    rows = [f"a1b: u{j}@example.org" for j in range(7)] + [f"a1b: s{j}secret" for j in range(3)] + [f"c2d: s{j}secret" for j in range(3)] + ["c2d: u1@example.org", "c2d: other77"]
+    rows += [f"e3f: s{j}secret" for j in range(3)] + [f"e3f: t{j}secret" for j in range(3)] + [f"g4h: {j}secret" for j in range(9)]
+    table = {r["pattern"]: r["sure"] for r in pii.learnt(documents(list(enumerate(rows)))).collect()}
+    # a word of a1b's own is worth nothing to a1b, one that it shares is worth what the other label is
+    c2d = 0.62
+    for _ in range(30):
+        a1b = (7 + 3 * min(c2d, pii.MOST)) / 10
+        c2d = (1 + 3 * min(a1b, pii.MOST)) / 5
+    assert set(table) == {"a1b:", "c2d:"}
+    assert (table["a1b:"], table["c2d:"]) == pytest.approx((a1b, c2d), abs=0.01)
+
+
+def test_a_lexicon_too_long_for_a_plan_is_joined(documents, monkeypatch):
+    df = documents([(1, "token=x12345 pass=y12345 badge number z12345"), (2, "none"), (None, None), (3, "pass=q12345")])
+    lexicon = ["token=", "badge number", "zzz="]
+    few = [[x["v"] for x in r["context"]] for r in pii.detected(df, lexicon).orderBy("doc_id").collect()], [r["text"] for r in pii.masked(df, lexicon).orderBy("doc_id").collect()]
+    monkeypatch.setattr(pii, "FEW", 2)
+    many = [[x["v"] for x in r["context"]] for r in pii.detected(df, lexicon).orderBy("doc_id").collect()], [r["text"] for r in pii.masked(df, lexicon).orderBy("doc_id").collect()]
+    assert few == many and few[0] == [[], ["x12345", "z12345"], [], []]
+
+
 def test_nothing_to_learn_from(documents):
     assert pii.lexicon(documents([])) == []
     assert pii.lexicon(documents([(1, "password=abc123"), (2, None)])) == []
