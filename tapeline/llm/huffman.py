@@ -8,7 +8,8 @@ stream, and the bit offset of every 128th id. Reading looks up 20-bit windows in
 and follows all checkpoints of a block side by side.
 
 Documents are dealt to parts by ranges of doc_id. Rows without a doc_id come first; repeated
-rows and rows of one doc_id stand in any order among themselves. A null or empty text is the
+rows and rows of one doc_id stand in any order among themselves, and where there are enough of
+them to fill parts of their own, they are dealt to these in turn. A null or empty text is the
 end id alone. Other columns of the table are ignored, whatever their names.
 """
 
@@ -113,11 +114,22 @@ def _tables(book: bytes) -> tuple[np.ndarray, np.ndarray]:
     return symbol, width
 
 
-def _encode(path: str, end_id: int, bounds: np.ndarray):
+def _parts(doc: pa.Array, turn: np.ndarray, bounds: np.ndarray, of_nulls: int) -> np.ndarray:
+    """Part of each row: by its turn, one of those that may hold its doc_id. Parts up to ``of_nulls`` may hold nulls."""
+    ids = doc.fill_null(0).to_numpy()
+    first, last = (np.searchsorted(bounds, ids, side) + of_nulls for side in ("left", "right"))
+    missing = doc.is_null().to_numpy(zero_copy_only=False)
+    first, last = np.where(missing, 0, first), np.where(missing, of_nulls, last)
+    return (first + turn % (last - first + 1)).astype(np.int32)
+
+
+def _encode(path: str, end_id: int, bounds: np.ndarray, of_nulls: int):
     def run(batches):
+        seen = 0
         for batch in batches:
             doc = batch.column(0)
-            part = np.searchsorted(bounds, doc.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
+            part = _parts(doc, np.arange(seen, seen + len(doc)), bounds, of_nulls)
+            seen += len(doc)
             for i, j, ids, at in wordtokens.encoded(batch.column(1), path, end_id):
                 small = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else None
                 raw, width = (small.tobytes(), 2) if small is not None else (ids.tobytes(), 4)
@@ -185,9 +197,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     path = tokenizer or wordtokens.default_path()
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = source.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)
-    bounds = np.unique(np.array(bounds, np.int64)) if bounds else np.zeros(0, np.int64)
-    dealt = source.mapInArrow(_encode(path, end_id, bounds), "part int, doc_id long, width byte, ids binary")
+    total, missing = source.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    of_nulls = parts * missing // max(1, total)
+    rest = max(1, parts - of_nulls)
+    # a doc_id that stands between several parts is a bound several times
+    bounds = np.array(source.approxQuantile("doc_id", [k / rest for k in range(1, rest)], 0.1 / rest), np.int64)
+    dealt = source.mapInArrow(_encode(path, end_id, bounds, of_nulls), "part int, doc_id long, width byte, ids binary")
     rows = staged(dealt, "ids")
     counts = rows.select("width", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     ids, n = counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
@@ -195,7 +210,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     book = pa.table({"id": ids, "bits": bits})
     spark.createDataFrame(book.to_pandas(), "id long, bits long").coalesce(1).write.parquet(f"{folder}/codebook")
     # the only shuffle: by now the codes are known, and each part is coded in order as it is written
-    ordered = rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id")
+    ordered = rows.repartitionById(of_nulls + len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id")
     ordered.mapInArrow(_write(ids, bits), _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 

@@ -143,6 +143,26 @@ def test_files_of_no_rows_and_of_repeated_ones(spark, documents, tmp_path):
     assert got == [(None, 0, 2), (1, 2, 2), (1, 4, 2)]
 
 
+def test_rows_of_one_doc_id_are_dealt_to_several_parts():
+    bounds, turn = np.array([3, 7, 7, 7, 9]), np.arange(10)
+    ids = [None, 1, 3, 5, 7, 7, 7, 7, 9, 20]
+    part = huffman._parts(pa.array(ids, pa.int64()), turn, bounds, 2)
+    assert part.tolist() == [0, 2, 2, 3, 3, 4, 5, 6, 6, 7]
+    for a, x in zip(ids, part.tolist(), strict=True):
+        for b, z in zip(ids, part.tolist(), strict=True):
+            if (a is None and b is not None) or (a is not None and b is not None and a < b):
+                assert x <= z
+
+
+def test_files_of_many_rows_without_an_id(spark, documents, tmp_path):
+    rows = [(None, f"n{k}") for k in range(60)] + [(7, f"seven {k}") for k in range(60)] + [(k, f"t{k}") for k in range(8, 30)]
+    huffman.write(documents(rows), str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f" / "blocks")).select("part").distinct().count() >= 3
+    got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in huffman.read(spark, str(tmp_path / "f")).orderBy("start").collect()]
+    assert [r[0] for r in got] == [None] * 60 + [7] * 60 + list(range(8, 30))
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_plans_hold_the_histogram(lengths):
