@@ -228,8 +228,10 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     path = tokenizer or wordtokens.default_path()
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = staged(source.mapInArrow(_cut(path, end_id, capacity), _PIECES), "pieces")
-    spread = pieces.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece").withColumn("part", F.spark_partition_id())
+    # a number of its own for each piece: repeated rows may make up many of one length, and are split too
+    pieces = staged(source.mapInArrow(_cut(path, end_id, capacity), _PIECES).withColumn("own", F.monotonically_increasing_id()), "pieces")
+    order = ["length", "doc_id", "piece", "own"]
+    spread = pieces.repartitionByRange(*order).sortWithinPartitions(*order).drop("own").withColumn("part", F.spark_partition_id())
     ranked = staged(spread.mapInArrow(_numbered(capacity), _PIECES + ", part int, rank long"), "ranked")
     # parts hold ranges of lengths, so this has about as many rows as lengths and partitions
     shares = sorted((r["length"], r["part"], r["n"]) for r in ranked.groupBy("length", "part").agg(F.count("*").alias("n")).collect())
