@@ -161,7 +161,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column, sample: int = SAMPLE) -> Trees:
-    """Trees from labelled documents outside the held-out fold, at most ``sample`` of them."""
+    """Trees from labelled documents outside the held-out fold, at most ``sample`` of them (see ``labelled_sample``)."""
     rows = labelled_sample(small_batches(docs), labels, "quality", held_out, sample)
 
     def run(batches):
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column, sample: int = SA
     x = np.array(got["x"].tolist(), np.float32).reshape(len(got), -1) if len(got) else np.zeros((0, 1), np.float32)
     y = got["label"].to_numpy(np.float64)
     # rows arrive in any order; a fixed one makes the trees the same every time
-    order = np.lexsort((*x.T, y, got["doc_id"])) if len(got) else np.zeros(0, np.int64)
+    order = np.argsort(got["doc_id"].to_numpy(np.int64), kind="stable") if len(got) else np.zeros(0, np.int64)
     return grow(x[order], y[order])
 
 

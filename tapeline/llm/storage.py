@@ -7,7 +7,6 @@ its own.
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -37,11 +36,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     """Holds Arrow batches of this session to 8 MB, and returns ``df``.
 
     A batch stands in the JVM and in the worker, once on the way in and once on the way out; what
-    is done with it here gains nothing from larger ones.
+    is done with it here gains nothing from larger ones. The setting is the session's: it is
+    lowered, never raised, and stays so, since the plan that needs it runs later.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub("[^0-9]", "", conf.get(key))) > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return df
 
 

@@ -306,13 +306,15 @@ def train(column: pa.Array, y: np.ndarray, seed: int = 7) -> Network:
         order = np.argsort(word, kind="stable")
         word, text = word[order], text[order]
         met.append((c.hash[word], y[i + text]))
+        held = []
         for a, b, gram, of in c.blocks():
             n = np.bincount(of, minlength=b - a)
             lo, hi = np.searchsorted(word, [a, b])
             w = word[lo:hi] - a
-            # a text's words may fall into several blocks; it is counted once for each, which matters little
             places = gram[textbytes.ragged((np.cumsum(n) - n)[w], n[w])].astype(np.int64)
-            _tally(seen, _once(np.repeat(text[lo:hi], n[w]) * RATIOS + places), RATIOS, y[i:j])
+            held.append(_once(np.repeat(text[lo:hi], n[w]) * RATIOS + places))
+        if held:  # a text whose words fall into several blocks counts once
+            _tally(seen, _once(np.concatenate(held)), RATIOS, y[i:j])
     hashes, bad = (np.concatenate(x) for x in zip(*met, strict=True))
     one, which = textbytes.distinct(hashes)
     ratio = _evidence(np.bincount(which, minlength=len(one)), np.bincount(which, bad, len(one)), int(first.sum()), int(y[first].sum()))
@@ -378,9 +380,9 @@ def _calibrate(net: Network, logit: np.ndarray, y: np.ndarray) -> None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: F.Column, sample: int = SAMPLE) -> Network:
-    """A network from labelled documents outside the held-out fold, at most ``sample`` of them."""
+    """A network from labelled documents outside the held-out fold, at most ``sample`` of them (see ``labelled_sample``)."""
     got = labelled_sample(docs, labels, "toxic", held_out, sample).select("doc_id", "label", "text").toPandas()
-    got = got.sort_values(["doc_id", "label", "text"], kind="stable")
+    got = got.sort_values("doc_id", kind="stable")
     net = train(pa.array(got["text"], pa.string()), got["label"].to_numpy(np.float64))
     del got
     textbytes.tidy()

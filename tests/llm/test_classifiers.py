@@ -157,13 +157,75 @@ def test_languages_on_held_out_texts():
 
 
 def test_shares_of_each_context_add_up_to_one():
-    words = [b"aba", b"abb", b"ba", b"bab"]
-    grams, share, contexts, rest = language._model(words, np.array([3, 1, 2, 5]))[-1]
-    s = language.Symbols(words)
-    position = s.position[np.unique(s.grams(5, s.position), return_index=True)[1]]
-    of = np.searchsorted(contexts, s.contexts(5, position))
-    np.testing.assert_allclose(np.bincount(of, share, len(contexts)) + rest, 1)
-    assert len(grams) == len(share)
+    high, low, n = language.counted(pa.array(["aba aba aba abb", "ba ba", "bab bab bab bab bab"]))
+    grams, share, contexts, rest = language._model(high, low, n)[-1]
+    at, position = language._symbols_of(high, low), np.arange(len(high)) * 5 + 4
+    own = language._contexts(at, 5, position[np.unique(language._grams(at, 5, position), return_index=True)[1]])
+    np.testing.assert_allclose(np.bincount(np.searchsorted(contexts, own), share, len(contexts)) + rest, 1)
+    assert len(grams) == len(share) == len(high)
+
+
+def _kneser_ney(texts):
+    """Probability of a symbol after four, by the textbook's recursion over plain dictionaries."""
+    top = {}
+    for w in " ".join(texts).split():
+        padded = "    " + w + " "
+        for i in range(4, len(padded)):
+            top[padded[i - 4 : i + 1]] = top.get(padded[i - 4 : i + 1], 0) + 1
+    counts = [None] * 6
+    counts[5] = top
+    for n in range(4, 0, -1):
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+    def chance(g, symbols):
+        n = len(g)
+        if not n:
+            return 1 / symbols
+        once, twice = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+        same = {h: c for h, c in counts[n].items() if h[:-1] == g[:-1]}
+        lower = chance(g[1:], symbols)
+        if not same:
+            return lower
+        total = sum(same.values())
+        left = 1 - sum(max(c - min(d, c), 0) for c in same.values()) / total
+        return max(same.get(g, 0) - d, 0) / total + left * lower
+
+    return chance, {g for g in counts[1]}
+
+
+def test_entropies_are_those_of_plain_dictionaries():
+    g = random.Random(7)
+    texts = {"aa": _languages(g, 6, ["ba", "o", "kru", "é"]), "bb": _languages(g, 6, ["ti", "o", "lm", "é"])}
+    models = language.train({k: pa.array(v) for k, v in texts.items()})
+    plain = {k: _kneser_ney(v) for k, v in texts.items()}
+    symbols = len(set().union(*(s for _, s in plain.values()))) + 1
+    for text in [*_languages(g, 4, ["ba", "ti", "x", "é"]), "zz"]:
+        for k, entropy in zip(("aa", "bb"), models.entropies(pa.array([text]))[0], strict=True):
+            logs = []
+            for w in text.split():
+                padded = "    " + w + " "
+                logs += [np.log(max(1e-12, plain[k][0](padded[i - 4 : i + 1], symbols))) for i in range(4, len(padded))]
+            assert entropy == pytest.approx(-np.mean(logs), rel=1e-4)
+
+
+def test_all_learnable_texts_are_counted_and_many_languages_bounded(spark, documents, monkeypatch):
+    g = random.Random(3)
+    rows = [(k, text, lang) for k, (lang, text) in enumerate([(n, t) for n, kinds in (("aa", ["ba", "o", "kru"]), ("bb", ["ti", "lm"])) for t in _languages(g, 30, kinds)])]
+    rows += [(1000, rows[0][1], "aa")] * 40 + [(2000 + k, "rare words", f"x{k:05}") for k in range(300)] + [(None, "n", "aa"), (5000, None, "aa"), (5001, "n", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    models = language.fit(df, F.lit(False))
+    assert models.names == ["aa", "bb"]
+    local = language.train({n: pa.array([t for k, t, lang in rows if lang == n and t and k is not None]) for n in ("aa", "bb")})
+    for a, b in zip(models.orders, local.orders, strict=True):
+        for x, y in zip(a, b, strict=True):
+            np.testing.assert_allclose(x, y)
+    assert language._sample(df.filter("lang = 'aa' and text is not null").select("lang", "text"), 10).count() == 10
+    monkeypatch.setattr(language, "CELLS", 40)
+    assert len(language.fit(df, F.lit(False)).orders[-1][0]) <= 20
 
 
 def test_without_training_texts():
@@ -182,6 +244,31 @@ def test_folds_and_samples(spark, documents):
     assert all(r["label"] == r["doc_id"] % 2 for r in sample)
 
 
+def test_samples_are_bounded_whatever_the_tables(spark, documents):
+    docs = documents([(3, "t" * (k % 5 + 1)) for k in range(3000)] + [(k, "x" * 100) for k in range(10, 60)] + [(60, None), (61, "y" * 5000)])
+    labels = spark.createDataFrame([(k, 1, 1) for k in range(100)] + [(3, 0, 0)] * 50, "doc_id long, quality int, toxic int")
+    sample = lambda *bounds: learning.labelled_sample(docs, labels, "toxic", F.lit(False), *bounds).collect()
+    everything = {r["doc_id"]: (r["label"], r["text"]) for r in sample(1000, 64_000)}
+    assert everything == {3: (1, "t"), 60: (1, "")} | {k: (1, "x" * 100) for k in range(10, 60)}  # 61 is longer than a part
+    assert len(sample(2)) <= 2
+    few = sample(1000, 3200)
+    assert 20 <= len(few) and sum(len(r["text"]) for r in few) <= 3200
+
+
+def test_a_text_counts_once_for_an_ngram_however_many_words_hold_it():
+    words = " ".join(f"w{k:05}" for k in range(40_000))  # the words of this text fall into several blocks
+    texts = [words, *(f"a{k} b" for k in range(8))]
+    y = np.array([1.0] + [0.0] * 8)
+    seen = []
+    old = toxicity._evidence
+    toxicity._evidence = lambda count, *a: seen.append(count) or old(count, *a)
+    try:
+        toxicity.train(pa.array(texts), y)
+    finally:
+        toxicity._evidence = old
+    assert max(c.max() for c in seen) <= len(texts)
+
+
 def test_filters_keep_columns_and_rows(spark, documents):
     texts, y = _quality(1, 200)
     docs = documents([*enumerate(texts), (None, None), (500, "")])
