@@ -38,6 +38,8 @@ WINDOW, MISS = 1.1, 1e-6
 HALF, CELLS = 128, 4096
 #: Vectors that are counted against each other at once, and a block's least and largest number of them.
 TILE, LEAST_BLOCK, LARGEST_BLOCK = 1024, 4096, 65536
+#: Tasks that pairs of blocks are dealt to, at most.
+TASKS = 1 << 14
 
 
 def collision_bound(directions: int = DIRECTIONS) -> int:
@@ -190,6 +192,10 @@ def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table([pa.array(v, t) for v, t in zip(fields, kinds, strict=True)], names=["dim", "block", "wide", "v", "i", "n"])
 
 
+#: 128 bits that stand for a vector, so that rows find their class without sending it again; rows without one are dealt by id and meet none.
+_PRINT = ["if(vector is null, xxhash64(vec_id), xxhash64(vector)) as print_a", "if(vector is null, null, xxhash64('b', vector)) as print_b"]
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -200,26 +206,29 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
     spark = vectors.sparkSession
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"))
-    rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.col("vector")))
+    rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + F.lit(0).cast(kind[6:-1]))))  # no negative zeros
     classes = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "vectors")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = min(LARGEST_BLOCK, max(LEAST_BLOCK, -(-classes.count() // 12)))
-    blocks = max(1, -(-classes.count() // size))
+    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count()
+    # every vector travels once per block: no more blocks than keep all cores busy and a block within its size
+    busy = math.isqrt(4 * spark.sparkContext.defaultParallelism) + 1
+    blocks = max(1, -(-total // LARGEST_BLOCK), min(-(-total // LEAST_BLOCK), busy))
     dealt = classes.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks))).repartition(max(parts, blocks), "dim", "block")
     packed = staged(dealt.groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, wide boolean, v binary, i binary, n binary"), "blocks")
     first, last = F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")
     left = packed.select("dim", "wide", F.col("block").alias("p"), F.col("v").alias("vp"), F.col("i").alias("ip"), F.col("n").alias("np"), F.explode(F.sequence("block", last)).alias("q"))
     right = packed.select("dim", F.col("block").alias("q"), F.col("v").alias("vq"), F.col("i").alias("iq"), F.col("n").alias("nq"), F.explode(F.sequence(first, F.col("block"))).alias("p"))
-    met = left.join(right, ["dim", "p", "q"]).repartition(max(parts, blocks * (blocks + 1) // 2), "dim", "p", "q")
+    # dealt once: the join takes both sides as they lie
+    tasks, keys = min(TASKS, max(parts, blocks * (blocks + 1))), ["dim", "p", "q"]
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
     found = staged(met.mapInArrow(_compare(threshold), "cid long, links long, root long"), "vector-links")
     reached = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     named = classes.join(links, "cid", "left").join(reached, F.col("cid") == F.col("node"), "left")
-    named = named.select("vector", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
+    named = named.withColumn("vec_id", F.col("rep")).select(*map(F.expr, _PRINT), "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("vector", "n_links", "component_id")
-    out = rows.join(named, "vector", "left")
+    named = named.join(least, "component").select("print_a", "print_b", "n_links", "component_id")
+    out = rows.selectExpr("vec_id", *_PRINT).join(named, ["print_a", "print_b"], "left")
     owner = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), owner.alias("component_id"), F.coalesce(owner == F.col("vec_id"), F.lit(True)).alias("kept"))
 

@@ -27,7 +27,9 @@ from tapeline.llm.vectors import matrix, unit, usable
 #: Vectors per shard and queries per block, on average.
 SHARD, BLOCK = 2048, 1024
 #: Links per node above and on the lowest level, candidates for them, and the beam of a search.
-LINKS, LOWEST, CANDIDATES, BEAM = 16, 32, 48, 80
+LINKS, LOWEST, CANDIDATES, BEAM = 16, 32, 48, 40
+#: Tasks that searches are dealt to, at most.
+TASKS = 1 << 14
 
 
 def _diverse(sims: np.ndarray, candidates: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
@@ -287,7 +289,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     # every block of queries meets every shard: a stated query set against all rows, in blocks
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    met = left.join(right, ["dim", "shard", "block"]).repartition(max(parts, shards), "shard", "block")
+    # dealt once, to as many tasks as there is work for: the join takes both sides as they lie
+    tasks, keys = min(TASKS, max(parts, 2 * shards * blocks)), ["dim", "shard", "block"]
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
