@@ -121,11 +121,6 @@ def loose_date(text: Column) -> Column:
     return F.coalesce(*[F.when(tidy.rlike(shape), F.try_to_date(tidy, form)) for form, shape in forms])
 
 
-def dates_in(text: Column) -> Column:
-    """All ISO dates of a text, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\b(?:19|20)\d{2}-\d{2}-\d{2}\b"), F.lit(0)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
-
-
 def names_symbol(text: Column, symbol: Column) -> Column:
     """Whether a text holds a symbol as a word of its own."""
     return F.concat(F.lit(" "), F.regexp_replace(F.upper(text), "[^A-Z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.upper(symbol), F.lit(" ")))
