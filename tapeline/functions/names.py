@@ -27,6 +27,9 @@ DESCRIPTORS = (
     r"\s*-\s*[A-Z]$",
 )
 
+# Abbreviations that are no prefix of what they stand for.
+EXPANSIONS = (("COS", "COMPANIES"), ("HLDGS", "HOLDINGS"), ("INTL", "INTERNATIONAL"))
+
 
 def _squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, " +", " "))
@@ -89,20 +92,57 @@ def volume_score(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(both, F.lit(False)), F.round(F.least(a, b) / F.greatest(a, b), 4)).otherwise(0.25)
 
 
-def prefix_related(a: Column, b: Column) -> Column:
-    """Whether the shorter of two token arrays is a prefix of the longer.
+def cut_related(a: Column, b: Column) -> Column:
+    """Whether two token arrays of one length, two tokens at least, differ by a cut in the last token only.
 
-    Both need two tokens. Of arrays of one length the last tokens may differ if one, of three
-    letters or more, begins the other and what follows is not a Roman numeral.
+    What is left of it has three letters or more, and what is cut off is not a Roman numeral.
     """
-    n = F.least(F.size(a), F.size(b))
-    head = F.slice(a, 1, n) == F.slice(b, 1, n)
-    but_last = F.slice(a, 1, n - 1) == F.slice(b, 1, n - 1)
+    n = F.size(a)
     x, y = F.try_element_at(a, n), F.try_element_at(b, n)
     short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
     rest = F.substring(long, F.length(short) + 1, F.length(long))
-    cut = (F.size(a) == F.size(b)) & but_last & (F.length(short) >= 3) & F.startswith(long, short) & rest.rlike("[^IVXLCDM]")
-    return (n >= 2) & (head | cut)
+    but_last = F.slice(a, 1, F.greatest(n - 1, F.lit(0))) == F.slice(b, 1, F.greatest(n - 1, F.lit(0)))
+    return (n >= 2) & (n == F.size(b)) & but_last & (F.length(short) >= 3) & F.startswith(long, short) & rest.rlike("[^IVXLCDM]")
+
+
+def prefix_related(a: Column, b: Column) -> Column:
+    """Whether the shorter of two token arrays, of two tokens at least, is a prefix of the longer, or they are ``cut_related``."""
+    n = F.least(F.size(a), F.size(b))
+    return ((n >= 2) & (F.slice(a, 1, n) == F.slice(b, 1, n))) | cut_related(a, b)
+
+
+def _expanded(words: Column) -> Column:
+    out = words
+    for short, long in EXPANSIONS:
+        out = F.transform(out, lambda w: F.when(F.upper(w) == short, F.lit(long)).otherwise(w))
+    return out
+
+
+def query_variants(name: Column) -> Column:
+    """Searches for a company, the most specific first, each once whatever its case.
+
+    The name, the name without descriptors, and that with ever fewer words down to one; each is
+    followed by itself with abbreviations written out, where it has any.
+    """
+    words = lambda x: F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")), " "), lambda w: w != "")
+    bare = words(without_descriptors(name))
+    shorter = F.transform(F.sequence(F.lit(0), F.greatest(F.size(bare) - 1, F.lit(0))), lambda k: F.slice(bare, 1, F.greatest(F.size(bare) - k, F.lit(0))))
+    every = F.concat(F.array(words(name)), shorter)
+    both = F.flatten(F.transform(every, lambda w: F.array(F.array_join(w, " "), F.array_join(_expanded(w), " "))))
+    lower = F.transform(both, lambda x: F.lower(x))
+    return F.filter(both, lambda x, i: (x != "") & (F.array_position(lower, F.lower(x)) == i + 1))
+
+
+def same_company(issuer: Column, candidate: Column, broad: bool = False) -> Column:
+    """Whether a candidate's name is the issuer's: as it stands, without descriptors, written out, or cut in its last word.
+
+    ``broad``: or one is a prefix of the other; for candidates that a symbol has singled out.
+    """
+    target, bare = normal_name(candidate), normal_name(without_descriptors(issuer))
+    written_out = normal_name(F.array_join(_expanded(F.split(bare, " ")), " "))
+    alike = prefix_related if broad else cut_related
+    same = (normal_name(issuer) == target) | (bare == target) | (written_out == target) | alike(F.split(bare, " "), F.split(target, " "))
+    return F.coalesce((target != "") & same, F.lit(False))
 
 
 def symbol_key(symbol: Column) -> Column:

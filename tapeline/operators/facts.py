@@ -86,9 +86,10 @@ def bridged_gaps(eras: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def cohort_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: size and a hash that does not depend on order or partitions."""
-    h = F.xxhash64(*[F.col(c) for c in columns])
-    return rows.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("hash"))
+    """One row: size and a hash (32 hexadecimal digits) that does not depend on order or partitions."""
+    h = F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns]).cast("binary"))
+    half = lambda at: F.lpad(F.lower(F.hex(F.bit_xor(F.conv(F.substring(h, at, 16), 16, -10).cast("long")))), 16, "0")
+    return rows.agg(F.count("*").alias("rows"), F.concat(half(1), half(17)).alias("hash"))
 
 
 def ledger_errors(rows: DataFrame, known: tuple[str, ...]) -> DataFrame:
@@ -128,9 +129,29 @@ def migrated(rows: DataFrame, mapping: DataFrame, must_survive: bool) -> DataFra
     return kept.withColumn("verification_state", F.when(F.col("status").endswith("_lead"), "event_candidate").otherwise("verified"))
 
 
-def check_cohort(rows: DataFrame, columns: list[str], stored: tuple[int, int] | None) -> tuple[int, int]:
+def check_cohort(rows: DataFrame, columns: list[str], stored: tuple[int, str] | None) -> tuple[int, str]:
     """Size and hash of a cohort; raises if one was stored and differs."""
     now = tuple(cohort_hash(rows, columns).first())
     if stored is not None and tuple(stored) != now:
         raise ValueError(f"the cohort has changed: {stored} was stored, {now} is here")
     return now
+
+
+def bound_identities(eras: DataFrame, identifiers: DataFrame, catalog: DataFrame, done: DataFrame, normal) -> DataFrame:
+    """Eras with the security that an identifier registry has for their symbol, or why they are held back.
+
+    ``eras`` has symbol, symbol_era_id and match_status (single, multi or none), ``identifiers`` symbol,
+    figi, name and place (their order), ``catalog`` symbol_era_id and catalog_name, ``done`` the
+    symbol_era_id of eras that need none. Of several securities one is bound if the names of all whose
+    normal form is the catalog's are one; nothing is guessed. Adds figi, issuer and binding.
+    """
+    named = catalog.filter("coalesce(catalog_name, '') <> ''").groupBy("symbol_era_id").agg(F.min("catalog_name").alias("_catalog"))
+    rows = eras.join(done.select("symbol_era_id"), "symbol_era_id", "left_anti").filter(F.col("match_status").isin("single", "multi"))
+    rows = rows.join(identifiers, "symbol").join(named, "symbol_era_id", "left")
+    same = normal(F.col("name")) == normal(F.col("_catalog"))
+    entry = F.struct("place", "figi", "name")
+    each = rows.groupBy("symbol", "symbol_era_id", "match_status").agg(F.min(entry).alias("_first"), F.min(F.when(same, entry)).alias("_same"), F.count_distinct(F.when(same, F.col("figi"))).alias("_n"))
+    single, bound = F.col("match_status") == "single", F.col("_n") == 1
+    chosen = F.when(single, F.col("_first")).when(bound, F.col("_same"))
+    binding = F.when(single, "single_figi_staged").when(bound, "multi_figi_bound").otherwise("multi_figi_held")
+    return each.select("symbol", "symbol_era_id", chosen["figi"].alias("figi"), chosen["name"].alias("issuer"), binding.alias("binding"))

@@ -214,3 +214,72 @@ def sector_table(eras: DataFrame, ciks: DataFrame, sic: DataFrame, classes: Data
             "continuity_status": classify.continuity(F.col("symbol"), F.col("current_tickers")),
         }
     ).drop("current_tickers")
+
+
+# Columns that research fills in, and the forms that tell what a lead is about.
+RESEARCH = (
+    "research_status", "proposed_historical_identity_status", "proposed_historical_issuer_name", "proposed_historical_event_type", "proposed_historical_event_date", "proposed_historical_successor", "primary_source_url", "secondary_source_url", "research_note",
+)
+LEAD = ("triage_bucket", "triage_score", "triage_reason", "cik", "entity", "form", "filed_at", "accession_no")
+BUCKETS = ("high_confidence_lead", "medium_confidence_lead", "manual_review_lead")
+
+
+def lead_candidates(template: DataFrame, triage: DataFrame, least: str = "manual_review_lead", anchored: bool = False, base: str = "https://www.sec.gov/Archives/edgar/data") -> DataFrame:
+    """Template rows with the best search hit of their era, as candidates that need a review.
+
+    Hits of rank 1 whose bucket is ``least`` or better count. Rows meet by symbol and era; with
+    ``anchored`` by first and last day too, so that the windows around an era's first and last day
+    stay apart, and the template says which of them a row is (lifecycle_anchor).
+    """
+    keys = ["symbol", "symbol_era_id"] + (["first_day", "last_day"] if anchored else [])
+    best = triage.filter(F.col("triage_rank").try_cast("int") == 1).filter(F.col("triage_bucket").isin(*BUCKETS[: BUCKETS.index(least) + 1])).select(*keys, *LEAD)
+    rows = template.drop(*[c for c in (*RESEARCH, *LEAD) if c in template.columns]).join(best, keys)
+    c = F.col
+    form, first = F.upper(F.trim(F.coalesce("form", F.lit("")))), c("lifecycle_anchor") == "first" if anchored else F.lit(False)
+    other = "operating_lifecycle_terminal_lead" if anchored else "merger_or_acquisition_lead"
+    event = (
+        F.when(first, "trading_commencement_or_symbol_lifecycle_lead").when(form.isin("25-NSE", "15-12B"), "delisting_or_registration_termination_lead")
+        .when(form.isin("SC 13E3", "SC 13E3/A"), "going_private_lead").otherwise(other)
+    )
+    cik, accession = F.ltrim(F.coalesce(c("cik").cast("string"), F.lit("")), F.lit("0")), F.replace(F.coalesce("accession_no", F.lit("")), F.lit("-"), F.lit(""))
+    score = c("triage_score").cast("string")
+    if anchored:
+        note = F.concat(F.lit("SEC lifecycle "), c("lifecycle_anchor"), F.lit("-anchor triage "), c("triage_bucket"), F.lit(" score="), score, F.lit("; "), c("triage_reason"), F.lit("."))
+    else:
+        note = F.concat(
+            F.lit("SEC triage "), c("triage_bucket"), F.lit(" score="), score, F.lit("; "), c("triage_reason"), F.lit("; form="), c("form"),
+            F.lit(". Verify issuer, CIK, event, successor, and final delisting/closing before changing research_status to verified."),
+        )
+    empty = F.lit(None).cast("string")
+    filled = {
+        "research_status": F.lit("candidate_needs_review"), "proposed_historical_identity_status": F.lit("manual_verified_historical_identity"),
+        "proposed_historical_issuer_name": F.trim(F.regexp_replace(F.trim(F.coalesce("entity", F.lit(""))), r"(\s+\([^)]*\))+$", "")), "proposed_historical_event_type": event, "proposed_historical_event_date": c("filed_at"),
+        "proposed_historical_successor": empty, "primary_source_url": F.when((cik != "") & (accession != ""), F.concat_ws("/", F.lit(base), cik, accession, F.lit(""))), "secondary_source_url": empty, "research_note": note,
+    }
+    carried = [x for x in rows.columns if x not in LEAD]
+    return rows.select(*carried, *[v.alias(k) for k, v in filled.items()], *LEAD)
+
+
+def joined_review_queue(eras: DataFrame, listings: DataFrame, overrides: DataFrame, ledger: DataFrame, facts: DataFrame) -> DataFrame:
+    """The review queue of eras from the tables that it draws on, each joined once by era.
+
+    ``eras`` has the registry's columns, ``listings`` the snapshots', ``overrides`` those set by hand,
+    ``ledger`` resolution_status and ``facts`` the best verified facts'.
+    """
+    seen = [c for c in ("symbol_era_id", "iex_entity_confidence", "iex_latest_issuer", "iex_product_hint", "iex_seen_in_latest") if c in listings.columns]
+    rows = eras.join(listings.select(*seen), "symbol_era_id", "left")
+    for other in (overrides, ledger, facts):
+        rows = rows.join(other, "symbol_era_id", "left")
+    return review_queue(rows)
+
+
+def enriched_eras(eras: DataFrame, identities: DataFrame, events: DataFrame) -> DataFrame:
+    """Eras with the best identity and the best event, whether the identity may be used, and the span in days.
+
+    ``identities`` has symbol_era_id, identity_tier, identity_contested and more, ``events`` symbol_era_id
+    and more; both have an era once.
+    """
+    day = lambda c: F.to_date(c, "yyyyMMdd")
+    rows = eras.join(identities, "symbol_era_id", "left").join(events, "symbol_era_id", "left")
+    usable = classify.usable_by_default(F.col("identity_tier"), F.coalesce("identity_contested", F.lit(False)))
+    return rows.withColumns({"identity_usable_default": usable, "era_span_days": F.datediff(day("last_day"), day("first_day"))})

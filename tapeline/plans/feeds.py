@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import market, names
-from tapeline.operators import facts, linking, worklists
+from tapeline.operators import companies, facts, linking, summaries, worklists
 from tapeline.plans import book as b
 from tapeline.plans.registry import Inputs, near, query
 from tapeline.sources import files, sinks
@@ -136,7 +136,12 @@ def page_fields(t: Inputs) -> DataFrame:
     return out
 
 
-@query()
+_SQL_TEXT = r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _entity, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _SQL_TEXT = f"replace({_SQL_TEXT}, '{_entity}', '{_sign}')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_SQL_TEXT}, '\s+', ' ', 'g')) AS text FROM pages")
 def page_text(t: Inputs) -> DataFrame:
     return t.table("pages").select("page_id", names.html_text(F.col("html")).alias("text"))
 
@@ -244,12 +249,19 @@ def ledger_errors(t: Inputs) -> DataFrame:
     return facts.ledger_errors(rows, ("review_ready", "manual_required"))
 
 
-@query()
+@query(
+    """SELECT count(*) AS rows, printf('%016x%016x', bit_xor(('0x' || substr(h, 1, 16))::UBIGINT), bit_xor(('0x' || substr(h, 17, 16))::UBIGINT)) AS hash
+    FROM (SELECT md5(concat_ws(chr(31), fact_id, symbol_era_id, verification_state)) AS h FROM found)""",
+    "found",
+)
 def cohort_hash(t: Inputs) -> DataFrame:
     return facts.cohort_hash(b.found(t), ["fact_id", "symbol_era_id", "verification_state"])
 
 
-@query()
+@query(
+    """SELECT o_orderkey, 'identity:' || substr(sha256('{"entity_id":"' || entity_id || '","issuer":"' || replace(issuer, '"', '\\"') || '","symbol_era_id":"' || symbol_era_id || '","verification_state":"' || verification_state || '"}'), 1, 24) AS id FROM found""",
+    "found",
+)
 def fact_ids(t: Inputs) -> DataFrame:
     rows = b.found(t).withColumn("id", facts.fact_id("identity", ["symbol_era_id", "verification_state", "issuer", "entity_id", "created_at"]))
     return rows.select("o_orderkey", "id")
@@ -264,40 +276,37 @@ def issuer_spans(t: Inputs) -> DataFrame:
 @query("SELECT variant, count(*) AS cases, count(*) FILTER (truth) AS truths, round(count(*) FILTER (truth AND hit) / count(*) FILTER (truth), 4) AS recall, count(*) FILTER (hit AND NOT truth) AS noise_only FROM (SELECT event_type AS variant, event_id % 3 = 0 AS truth, event_id % 4 <> 1 AS hit FROM events) GROUP BY variant")
 def recall_by_variant(t: Inputs) -> DataFrame:
     rows = t.table("events").select(F.col("event_type").alias("variant"), (F.col("event_id") % 3 == 0).alias("truth"), (F.col("event_id") % 4 != 1).alias("hit"))
-    out = rows.groupBy("variant").agg(F.count("*").alias("cases"), F.count_if("truth").alias("truths"), F.count_if(F.col("truth") & F.col("hit")).alias("_found"), F.count_if(F.col("hit") & ~F.col("truth")).alias("noise_only"))
-    return out.withColumn("recall", F.round(F.col("_found") / F.col("truths"), 4)).drop("_found")
+    return summaries.recall(rows, "variant")
 
 
 @query(
     """SELECT day, published, bool_and(published) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS in_prefix FROM (SELECT strftime(ts, '%Y%m%d') AS day, count(*) FILTER (event_type = 'error') < 95 AS published FROM events GROUP BY 1)"""
 )
 def backfill_progress(t: Inputs) -> DataFrame:
-    days = t.table("events").groupBy(F.date_format("ts", "yyyyMMdd").alias("day")).agg((F.count_if(F.col("event_type") == "error") < 95).alias("published"))
-    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return days.withColumn("in_prefix", F.min("published").over(w))
+    return summaries.backfill_progress(t.table("events").groupBy(F.date_format("ts", "yyyyMMdd").alias("day")).agg((F.count_if(F.col("event_type") == "error") < 95).alias("published")))
+
+
+@query("SELECT CASE WHEN event_type <> 'purchase' THEN event_type END AS failure, count(*) AS runs, count(DISTINCT strftime(ts, '%Y%m%d')) AS days, near(avg(value), 2) AS mean_seconds, near(avg(user_id), 2) AS mean_bytes FROM events GROUP BY 1")
+def backfill_failures(t: Inputs) -> DataFrame:
+    runs = t.table("events").select(F.date_format("ts", "yyyyMMdd").alias("day"), F.when(F.col("event_type") != "purchase", F.col("event_type")).alias("failure"), F.col("value").alias("seconds"), F.col("user_id").alias("bytes"))
+    return summaries.backfill_summary(runs).withColumns({"mean_seconds": near("mean_seconds", 2), "mean_bytes": near("mean_bytes", 2)})
 
 
 @query("SELECT event_type AS stage, count(*) AS rows, near(sum(value), 2) AS seconds, near(count(*) / sum(value), 6) AS rows_per_second FROM events GROUP BY 1")
 def profile_rates(t: Inputs) -> DataFrame:
-    out = t.table("events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("rows"), F.sum("value").alias("s"))
-    return out.select("stage", "rows", near("s", 2).alias("seconds"), near(F.try_divide(F.col("rows"), F.col("s")), 6).alias("rows_per_second"))
+    out = summaries.profile_rates(t.table("events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")))
+    return out.withColumns({"seconds": near("seconds", 2), "rows_per_second": near("rows_per_second", 6)})
 
 
 @query("SELECT count(*) AS eras, count(*) FILTER (c IS NULL) AS only_decided, count(*) FILTER (d IS NULL) AS only_cohort FROM (SELECT DISTINCT symbol_era_id, 1 AS c FROM found WHERE batch <> 'P') FULL JOIN (SELECT DISTINCT symbol_era_id, 1 AS d FROM found WHERE batch <> 'F') USING (symbol_era_id)", "found")
 def reconciliation(t: Inputs) -> DataFrame:
     rows = b.found(t)
-    cohort = rows.filter("batch <> 'P'").select("symbol_era_id").distinct().withColumn("c", F.lit(1))
-    decided = rows.filter("batch <> 'F'").select("symbol_era_id").distinct().withColumn("d", F.lit(1))
-    both = cohort.join(decided, "symbol_era_id", "full")
-    return both.agg(F.count("*").alias("eras"), F.count_if(F.col("c").isNull()).alias("only_decided"), F.count_if(F.col("d").isNull()).alias("only_cohort"))
+    return summaries.reconciliation(rows.filter("batch <> 'P'"), rows.filter("batch <> 'F'"))
 
 
 @query("SELECT conv_id, bool_or(low AND lag) AS stops FROM (SELECT conv_id, length(text) < 200 AS low, coalesce(lag(length(text) < 200) OVER (PARTITION BY conv_id ORDER BY turn, text), false) AS lag FROM conversations) GROUP BY conv_id")
 def two_low_batches(t: Inputs) -> DataFrame:
-    low = F.length("text") < 200
-    w = Window.partitionBy("conv_id").orderBy("turn", "text")
-    rows = t.table("conversations").withColumn("low", low).withColumn("before", F.coalesce(F.lag("low").over(w), F.lit(False)))
-    return rows.groupBy("conv_id").agg(F.bool_or(F.col("low") & F.col("before")).alias("stops"))
+    return summaries.two_in_a_row(t.table("conversations"), "conv_id", ["turn", "text"], F.length("text") < 200)
 
 
 @query("SELECT symbol_era_id, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY symbol_era_id ORDER BY CASE verification_state WHEN 'verified' THEN 0 WHEN 'corroborated' THEN 1 ELSE 2 END, abs(date_diff('day', strptime('19980601', '%Y%m%d')::DATE, strptime(created_at, '%Y%m%d')::DATE)), o_orderkey) AS k FROM found) WHERE k <= 2", "found")
@@ -305,15 +314,13 @@ def form_then_distance(t: Inputs) -> DataFrame:
     state = F.col("verification_state")
     first = F.when(state == "verified", 0).when(state == "corroborated", 1).otherwise(2)
     distance = F.abs(F.datediff(F.to_date("created_at", "yyyyMMdd"), F.lit("1998-06-01").cast("date")))
-    return linking.first_ranked(b.found(t), ["symbol_era_id"], [first, distance, F.col("o_orderkey")], 2).select("symbol_era_id", "o_orderkey")
+    return summaries.form_then_distance(b.found(t), first, distance, "symbol_era_id", "o_orderkey", 2).select("symbol_era_id", "o_orderkey")
 
 
-@query()
+@query("SELECT o_orderkey, verification_state FROM found ORDER BY CASE verification_state WHEN 'verified' THEN 0 ELSE 1 END, md5(o_orderkey || ':7'), o_orderkey LIMIT 500", "found")
 def seeded_sample(t: Inputs) -> DataFrame:
     """A sampling operator: verified facts first, then others in the order of a seeded hash."""
-    rows = b.found(t)
-    truth = F.when(F.col("verification_state") == "verified", 0).otherwise(1)
-    return rows.orderBy(truth, F.xxhash64("o_orderkey", F.lit(7)), "o_orderkey").limit(500).select("o_orderkey", "verification_state")
+    return summaries.seeded_sample(b.found(t), F.col("verification_state") == "verified", "o_orderkey", 7, 500).select("o_orderkey", "verification_state")
 
 
 @query("SELECT cik AS parent_cik, strftime(DATE '1970-01-01' + CAST(14 * (date_diff('day', DATE '1970-01-01', strptime(last_day, '%Y%m%d')::DATE) // 14) AS INTEGER), '%Y-%m-%d') AS action_window, count(*) AS children FROM book GROUP BY ALL", "book")
@@ -349,3 +356,109 @@ def set_intersection(t: Inputs) -> DataFrame:
 def set_difference(t: Inputs) -> DataFrame:
     rows = b.book(t)
     return rows.select("symbol").subtract(rows.filter("n % 3 = 0").select("symbol"))
+
+
+@query(
+    """SELECT 0.2 AS min_trade_share, count(*) AS scanned_day_count, count(*) FILTER (reason IS NULL) AS valid_day_count, count(reason) AS quarantined_day_count, coalesce(string_agg(day || '=' || reason, ',' ORDER BY day) FILTER (reason IS NOT NULL), '') AS quarantined
+    FROM (SELECT *, CASE WHEN isodow(strptime(day, '%Y%m%d')) >= 6 THEN 'weekend_session' WHEN trade_rows = 0 THEN 'no_trade_reports' WHEN trade_rows / total_rows < 0.2 THEN 'low_trade_share' END AS reason
+    FROM (SELECT strftime(ts, '%Y%m%d') AS day, count(*) AS total_rows, count(*) FILTER (event_type = 'purchase') AS trade_rows FROM events GROUP BY 1))"""
+)
+def validity_manifest(t: Inputs) -> DataFrame:
+    days = t.table("events").groupBy(F.date_format("ts", "yyyyMMdd").alias("day")).agg(F.count("*").alias("total_rows"), F.count_if(F.col("event_type") == "purchase").alias("trade_rows"))
+    out = summaries.validity_manifest(days, 0.2)
+    return out.withColumn("quarantined", F.array_join(F.transform("quarantined_days", lambda x: F.concat(x["day"], F.lit("="), x["reason"])), ",")).drop("quarantined_days")
+
+
+_LEADS = f"""SELECT 'C' || o_custkey AS symbol, 'C' || o_custkey || '#' || year(o_orderdate) AS symbol_era_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) AS triage_rank,
+{b.sql_pick(list(worklists.BUCKETS), "o_orderkey")} AS triage_bucket, o_orderkey % 90 AS triage_score, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, {b.sql_pick(["ACME INC (ABC) (CIK 1)", "", "ZETA (X) CORP"], "o_orderkey // 3")} AS entity,
+{b.sql_pick(["25-NSE", "sc 13e3 ", "8-K", "15-12B"], "o_orderkey // 2")} AS form, strftime(o_orderdate, '%Y-%m-%d') AS filed_at FROM orders"""
+
+
+def _leads(t: Inputs) -> DataFrame:
+    k, o = F.col("o_orderkey"), t.table("orders")
+    symbol, year = F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.date_format("o_orderdate", "yyyy")
+    rank = F.row_number().over(Window.partitionBy("o_custkey", year).orderBy("o_orderkey"))
+    return o.select(
+        symbol.alias("symbol"), F.concat(symbol, F.lit("#"), year).alias("symbol_era_id"), year.alias("first_day"), F.concat(year, F.lit("1231")).alias("last_day"), rank.cast("string").alias("triage_rank"), b.pick(list(worklists.BUCKETS), k).alias("triage_bucket"),
+        (k % 90).alias("triage_score"), F.lit("r").alias("triage_reason"), F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), b.pick(["ACME INC (ABC) (CIK 1)", "", "ZETA (X) CORP"], F.floor(k / 3)).alias("entity"),
+        b.pick(["25-NSE", "sc 13e3 ", "8-K", "15-12B"], F.floor(k / 2)).alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed_at"), F.concat(F.lit("1-2-"), k.cast("string")).alias("accession_no"),
+    )
+
+
+_LED = """SELECT symbol_era_id, {0} CASE entity WHEN 'ACME INC (ABC) (CIK 1)' THEN 'ACME INC' ELSE entity END AS issuer, {1} AS event_type, 'https://www.sec.gov/Archives/edgar/data/' || nullif(ltrim(cik, '0'), '') || '/12' || o_orderkey || '/' AS url"""
+
+
+@query(
+    _LED.format("", "CASE WHEN form IN ('25-NSE', '15-12B') THEN 'delisting_or_registration_termination_lead' WHEN form = 'sc 13e3 ' THEN 'going_private_lead' ELSE 'merger_or_acquisition_lead' END")
+    + f""", 'SEC triage ' || triage_bucket || ' score=' || triage_score || '; r; form=' || form || '. Verify issuer, CIK, event, successor, and final delisting/closing before changing research_status to verified.' AS note
+    FROM ({_LEADS}) WHERE triage_rank = 1 AND triage_bucket <> 'manual_review_lead'"""
+)
+def lead_candidates(t: Inputs) -> DataFrame:
+    rows = _leads(t)
+    out = worklists.lead_candidates(rows.select("symbol", "symbol_era_id", F.lit("old").alias("research_note")).distinct(), rows, "medium_confidence_lead")
+    return out.select("symbol_era_id", F.col("proposed_historical_issuer_name").alias("issuer"), F.col("proposed_historical_event_type").alias("event_type"), F.col("primary_source_url").alias("url"), F.col("research_note").alias("note"))
+
+
+@query(
+    _LED.format("anchor AS lifecycle_anchor,", "CASE WHEN anchor = 'first' THEN 'trading_commencement_or_symbol_lifecycle_lead' WHEN form IN ('25-NSE', '15-12B') THEN 'delisting_or_registration_termination_lead' WHEN form = 'sc 13e3 ' THEN 'going_private_lead' ELSE 'operating_lifecycle_terminal_lead' END")
+    + f""", 'SEC lifecycle ' || anchor || '-anchor triage ' || triage_bucket || ' score=' || triage_score || '; r.' AS note FROM ({_LEADS}) JOIN (SELECT unnest(['first', 'last']) AS anchor) ON anchor = 'first' OR o_orderkey % 2 = 0 WHERE triage_rank = 1"""
+)
+def lifecycle_candidates(t: Inputs) -> DataFrame:
+    rows = _leads(t)
+    keys = ["symbol", "symbol_era_id", "first_day", "last_day"]
+    later = rows.filter("triage_rank = '1' and cast(split(accession_no, '-')[2] as bigint) % 2 = 0").select(*keys)
+    windows = rows.select(*keys).distinct().withColumn("lifecycle_anchor", F.lit("first")).unionByName(later.withColumn("lifecycle_anchor", F.lit("last")))
+    out = worklists.lead_candidates(windows, rows, anchored=True)
+    return out.select("symbol_era_id", "lifecycle_anchor", F.col("proposed_historical_issuer_name").alias("issuer"), F.col("proposed_historical_event_type").alias("event_type"), F.col("primary_source_url").alias("url"), F.col("research_note").alias("note"))
+
+
+@query(
+    """SELECT e.symbol_era_id, i.o_orderkey AS identity, v.o_orderkey AS event, coalesce(i.verification_state IN ('verified', 'corroborated') OR (i.verification_state = 'openfigi_asserted' AND NOT i.contested), false) AS identity_usable_default,
+    CAST(date_diff('day', strptime(e.first_day, '%Y%m%d')::DATE, strptime(e.last_day, '%Y%m%d')::DATE) AS INTEGER) AS era_span_days
+    FROM (SELECT symbol_era_id, min(created_at) AS first_day, max(created_at) AS last_day FROM found GROUP BY 1) e LEFT JOIN (SELECT * FROM best WHERE batch <> 'F') i USING (symbol_era_id) LEFT JOIN (SELECT * FROM best WHERE batch <> 'O') v USING (symbol_era_id)""",
+    "best",
+)
+def enriched_eras(t: Inputs) -> DataFrame:
+    best = b.best(t)
+    eras = b.found(t).groupBy("symbol_era_id").agg(F.min("created_at").alias("first_day"), F.max("created_at").alias("last_day"))
+    identities = best.filter("batch <> 'F'").select("symbol_era_id", F.col("verification_state").alias("identity_tier"), F.col("contested").alias("identity_contested"), F.col("o_orderkey").alias("identity"))
+    events = best.filter("batch <> 'O'").select("symbol_era_id", F.col("o_orderkey").alias("event"))
+    return worklists.enriched_eras(eras, identities, events).select("symbol_era_id", "identity", "event", "identity_usable_default", "era_span_days")
+
+
+@query(
+    """SELECT symbol_era_id, status, CASE WHEN same = 1 OR status = 'single' THEN figi END AS figi, CASE WHEN status = 'single' THEN 'single_figi_staged' WHEN same = 1 THEN 'multi_figi_bound' ELSE 'multi_figi_held' END AS binding
+    FROM (SELECT symbol_era_id, CASE WHEN n % 3 = 0 THEN 'single' ELSE 'multi' END AS status, CASE WHEN n % 3 = 0 OR n % 4 = 1 THEN 'F0' || symbol WHEN n % 4 = 2 THEN 'F1' || symbol END AS figi, CASE n % 4 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS same FROM book WHERE n % 5 <> 0)""",
+    "book",
+)
+def figi_binding(t: Inputs) -> DataFrame:
+    rows, n = b.book(t), F.col("n")
+    eras = rows.select("symbol", "symbol_era_id", F.when(n % 3 == 0, "single").otherwise("multi").alias("match_status"))
+    place = F.explode(F.array(*map(F.lit, range(4)))).alias("place")
+    listed = rows.select("symbol").distinct().select("symbol", place).withColumns({"figi": F.concat(F.lit("F"), F.col("place").cast("string"), "symbol"), "name": b.pick(["ACME INC", "The Zeta Co", "ETA CORP", "Eta Inc"], F.col("place"))})
+    catalog = rows.select("symbol_era_id", b.pick([None, "Acme Corp", "ZETA", "ETA"], n).alias("catalog_name"))
+    out = facts.bound_identities(eras, listed, catalog, rows.filter("n % 5 = 0"), names.normal_issuer)
+    return out.join(eras.select("symbol_era_id", F.col("match_status").alias("status")), "symbol_era_id").select("symbol_era_id", "status", "figi", "binding")
+
+
+@query(
+    """SELECT issuer AS identity_issuer, CASE WHEN k % 13 = 0 THEN 'no_candidates' WHEN k % 11 = 0 THEN 'fetch_error' WHEN n = 0 THEN 'no_validated_match' WHEN n = 1 AND one_gone THEN 'no_validated_match' WHEN n = 1 THEN 'matched' WHEN open = 0 AND live = 1 THEN 'matched' ELSE 'ambiguous_candidates' END AS match_status,
+    n = 1 AND one_gone AND k % 11 <> 0 AND k % 13 <> 0 AS identity_disproven, CASE WHEN k % 11 <> 0 AND k % 13 <> 0 AND NOT (n = 1 AND one_gone) AND n >= 1 AND (n = 1 OR (open = 0 AND live = 1)) THEN CASE WHEN a AND (n = 1 OR NOT ga) THEN CAST(k AS VARCHAR) ELSE 'B' || k END END AS matched_cik
+    FROM (SELECT *, a::INT + z::INT AS n, CASE WHEN a AND NOT z THEN ga WHEN z AND NOT a THEN gz ELSE false END AS one_gone, (a AND NOT ga AND NOT pa)::INT + (z AND NOT gz AND NOT pz)::INT AS open, (a AND pa)::INT + (z AND pz)::INT AS live
+    FROM (SELECT 'FIRM ' || c_custkey || ' CORP-CL A' AS issuer, c_custkey AS k, c_custkey % 5 <> 0 AS a, c_custkey % 3 = 0 AS z, c_custkey % 4 = 0 AS ga, c_custkey % 4 = 1 AS pa, c_custkey % 7 < 3 AS gz, c_custkey % 7 >= 5 AS pz FROM customer))"""
+)
+def company_search(t: Inputs) -> DataFrame:
+    k, c = F.col("c_custkey"), t.table("customer")
+    day = lambda s: F.lit(s).cast("date")
+    firm = F.concat(F.lit("FIRM "), k.cast("string"))
+    issuers = c.select(F.concat(firm, F.lit(" CORP-CL A")).alias("identity_issuer"), day("1997-01-01").alias("first_day"), day("1997-12-31").alias("last_day"), F.lit(None).cast("string").alias("ticker"))
+    ciks = F.when(k % 11 == 0, F.array(F.lit("none"))).when(k % 3 == 0, F.array(k.cast("string"), F.concat(F.lit("B"), k.cast("string")))).otherwise(F.array(k.cast("string")))
+    search = c.filter(k % 13 != 0).select(F.concat(firm, F.lit(" Corp")).alias("query"), F.posexplode(ciks).alias("rank", "cik"))
+    bracket, inside, gone = F.array(day("1990-01-01"), day("1999-01-01")), F.array(day("1997-05-05")), F.array(day("1991-01-01"))
+    dates = lambda x, lo, hi: F.when(x < lo, gone).when(x >= hi, inside).otherwise(bracket)
+    one = c.select(k.cast("string").alias("cik"), F.concat(firm, F.lit(" Inc")).alias("entity_name"), F.when(k % 5 != 0, "1").alias("sic"), F.when(k % 4 == 0, gone).when(k % 4 == 1, inside).otherwise(bracket).alias("filing_dates"))
+    two = c.filter(k % 3 == 0).select(F.concat(F.lit("B"), k.cast("string")).alias("cik"), F.lit("Else").alias("entity_name"), F.lit("2").alias("sic"), dates(k % 7, 3, 5).alias("filing_dates"), F.array(F.concat(firm, F.lit(", Co."))).alias("former_names"))
+    known = one.withColumn("former_names", F.lit(None).cast("array<string>")).unionByName(two).withColumns(
+        {"sic_description": F.lit("d"), "entity_type": F.lit("other"), "substantive_filing_dates": F.array().cast("array<date>"), "has_older_shards": F.lit(False), "bdc_election_filed": F.lit(False)}
+    )
+    return companies.company_matches(issuers, search, known).select("identity_issuer", "match_status", "identity_disproven", "matched_cik")

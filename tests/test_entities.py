@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tapeline.functions import classify, names
-from tapeline.operators import facts, linking, listings, worklists
+from tapeline.operators import facts, linking, listings, summaries, worklists
 
 
 def _one(spark, column):
@@ -165,3 +165,35 @@ def test_document_graph_and_reasons(spark):
     out = {r["symbol_era_id"]: r for r in worklists.document_graph(spark.createDataFrame(rows, "symbol_era_id string, flags array<string>, triage_score int, url string")).collect()}
     assert (out["A#1"]["bucket"], out["A#1"]["score"], out["A#1"]["documents"], out["A#1"]["top_documents"]) == ("auto_verified_candidate", 89, 3, "u1 | u0 | u3")
     assert (out["B#1"]["bucket"], out["B#1"]["score"]) == ("manual_review", 15)
+
+
+def test_leads_keep_the_windows_of_an_era_apart(spark):
+    triage = spark.createDataFrame(
+        [("A", "A#1", "20200101", "20200131", "1", "medium_confidence_lead", 50, "r", "0007", "ACME INC (A) (CIK 7)", " sc 13e3", "2020-01-09", "1-2-3"), ("A", "A#1", "20200101", "20200131", "2", "high_confidence_lead", 40, "r", "1", "X", "8-K", "d", "1"), ("A", "A#1", "20200601", "20200630", "1", "manual_review_lead", 9, "r", None, None, None, None, None)],
+        "symbol string, symbol_era_id string, first_day string, last_day string, triage_rank string, triage_bucket string, triage_score int, triage_reason string, cik string, entity string, form string, filed_at string, accession_no string",
+    )
+    windows = spark.createDataFrame([("A", "A#1", "20200101", "20200131", "first", "x"), ("A", "A#1", "20200601", "20200630", "last", "y")], "symbol string, symbol_era_id string, first_day string, last_day string, lifecycle_anchor string, form string")
+    got = {r["lifecycle_anchor"]: r for r in worklists.lead_candidates(windows, triage, anchored=True).collect()}
+    assert got["first"]["proposed_historical_event_type"] == "trading_commencement_or_symbol_lifecycle_lead" and got["first"]["primary_source_url"].endswith("/data/7/123/")
+    assert got["last"]["proposed_historical_issuer_name"] == "" and got["last"]["primary_source_url"] is None and got["last"]["form"] is None
+    plain = worklists.lead_candidates(windows.select("symbol", "symbol_era_id").distinct(), triage, "medium_confidence_lead").collect()
+    assert [(r["proposed_historical_issuer_name"], r["proposed_historical_event_type"]) for r in plain] == [("ACME INC", "going_private_lead")]
+
+
+def test_the_review_queue_joins_its_tables_once_each(spark):
+    eras = spark.createDataFrame([("ABC", "ABC#1", "partial_window_candidate", "sec_unmatched", 5), ("XYZ", "XYZ#1", "stable_candidate", "sec_unmatched", 5)], "symbol string, symbol_era_id string, source_classification string, sec_current_confidence string, trade_rows int")
+    listings = spark.createDataFrame([("ABC#1", "iex_snapshot_unmatched", "Acme", "etf", True, 1)], "symbol_era_id string, iex_entity_confidence string, iex_latest_issuer string, iex_product_hint string, iex_seen_in_latest boolean, other int")
+    overrides = spark.createDataFrame([], "symbol_era_id string, historical_identity_status string")
+    ledger = spark.createDataFrame([("ABC#1", "review_ready")], "symbol_era_id string, resolution_status string")
+    facts = spark.createDataFrame([("ABC#1", "f")], "symbol_era_id string, fact string")
+    rows = worklists.joined_review_queue(eras, listings, overrides, ledger, facts).collect()
+    assert [(r["symbol_era_id"], r["resolution_workflow_status"], r["instrument_type"], r["fact"]) for r in rows] == [("ABC#1", "ledger_review_ready", "probable_fund_or_trust", "f")]
+
+
+def test_quarantined_days_are_left_out(spark):
+    days = spark.createDataFrame([("20240105", 100, 60), ("20240106", 100, 60), ("20240108", 100, 0), ("20240109", 100, 5)], "day string, total_rows long, trade_rows long")
+    manifest = summaries.validity_manifest(days)
+    row = manifest.first()
+    assert (row["scanned_day_count"], row["valid_day_count"]) == (4, 1)
+    assert [(x["day"], x["reason"]) for x in row["quarantined_days"]] == [("20240106", "weekend_session"), ("20240108", "no_trade_reports"), ("20240109", "low_trade_share")]
+    assert [r["day"] for r in summaries.without_quarantined(days, manifest).collect()] == ["20240105"]
