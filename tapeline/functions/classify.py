@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tapeline.functions import names
+
 # The ten divisions of the public SIC manual, with their first and last code.
 SIC_DIVISIONS = (
     ("A", "Agriculture, Forestry, And Fishing", 100, 999),
@@ -216,7 +218,7 @@ def cik_tiers() -> list[tuple[Column, str, str, Column]]:
     c = F.col
     no = F.lit(False)
     verified = F.coalesce(c("identity_tier") == "verified", no)
-    legacy = F.regexp_extract(F.coalesce("identity_source_url", F.lit("")), r"/data/0*([1-9][0-9]*)/", 1)
+    legacy = F.coalesce(names.archive_cik(c("identity_source_url")), F.lit(""))
     by_date = verified & F.coalesce(c("identity_method") == "sec_date_scoped_display_names", no) & F.coalesce(c("identity_entity_id").rlike(r"^\d+$"), no)
     by_url = verified & F.coalesce(c("identity_method") == "legacy_historical_override", no) & (legacy != "")
     active = F.coalesce(c("source_classification").isin("stable_candidate", "ipo_or_new_listing_candidate"), no)

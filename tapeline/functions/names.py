@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that names end in without being told apart by them, for the three kinds of normal form.
-LEGAL_SUFFIXES = "INCORPORATED INCORPORATION CORPORATION COMPANY LIMITED HOLDINGS HOLDING GROUP TRUST PARTNERS PARTNERSHIP INC CORP CO LTD LLC LP LLP PLC SA NV AG PUBLIC".split()
-ISSUER_SUFFIXES = "INC CORP CORPORATION CO COMPANY LTD LLC LP LLP PLC HOLDINGS HOLDING GROUP NV SE AG".split()
-ISSUER_STOPWORDS = "INC CORP CORPORATION CO COMPANY LTD LIMITED PLC HOLDINGS HOLDING GROUP THE CLASS COMMON STOCK".split()
+LEGAL_SUFFIXES = ("INCORPORATED", "INCORPORATION", "CORPORATION", "COMPANY", "LIMITED", "HOLDINGS", "HOLDING", "GROUP", "TRUST", "PARTNERS", "PARTNERSHIP", "INC", "CORP", "CO", "LTD", "LLC", "LP", "LLP", "PLC", "SA", "NV", "AG", "PUBLIC")
+ISSUER_SUFFIXES = ("INC", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LLC", "LP", "LLP", "PLC", "HOLDINGS", "HOLDING", "GROUP", "NV", "SE", "AG")
+ISSUER_STOPWORDS = ("INC", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", "PLC", "HOLDINGS", "HOLDING", "GROUP", "THE", "CLASS", "COMMON", "STOCK")
 # Endings that security listings add to an issuer's name, in the order in which they are taken off.
 DESCRIPTORS = (
     r"-CW\d+$",
@@ -35,7 +35,7 @@ def _squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, " +", " "))
 
 
-def _without_last(text: Column, words: list[str]) -> Column:
+def _without_last(text: Column, words: tuple[str, ...]) -> Column:
     return F.trim(F.regexp_replace(text, rf"(?:(?:^| )(?:{'|'.join(words)}))+$", ""))
 
 
