@@ -16,6 +16,11 @@ def valid_snapshots(rows: DataFrame, least: int = 1000) -> DataFrame:
     return rows.join(sizes.select("snapshot_date"), "snapshot_date", "left_semi")
 
 
+def invalid_snapshots(rows: DataFrame, least: int = 1000) -> DataFrame:
+    """snapshot_date and size of the snapshots that ``valid_snapshots`` leaves out."""
+    return rows.groupBy("snapshot_date").agg(F.count("*").alias("rows")).filter(F.col("rows") < least)
+
+
 def lifecycle(rows: DataFrame) -> DataFrame:
     """One row per symbol: when it was seen, its latest attributes, and its issuer's spellings."""
     latest = rows.agg(F.max("snapshot_date").alias("iex_latest_snapshot"))

@@ -77,6 +77,14 @@ def quarantine_verdict(rows: DataFrame, total: int, consecutive: int) -> DataFra
     return out.withColumn("abort", (F.col("unknown") > total) | (F.col("longest_run") > consecutive))
 
 
+def write_quarantine(rows: DataFrame, folder: str, total: int, consecutive: int) -> bool:
+    """Writes the unknown messages and the verdict on them beside the data; returns whether the run must stop."""
+    verdict = quarantine_verdict(rows, total, consecutive)
+    split_messages(rows)[2].write.mode("overwrite").parquet(f"{folder}/unknown")
+    verdict.coalesce(1).write.mode("overwrite").json(f"{folder}/verdict")
+    return bool(rows.sparkSession.read.schema(verdict.schema).json(f"{folder}/verdict").first()["abort"])
+
+
 def write_by_letter(rows: DataFrame, path: str) -> None:
     """One folder for each first letter of the symbol."""
     rows.withColumn("letter", F.upper(F.substring("symbol", 1, 1))).write.mode("overwrite").partitionBy("letter").parquet(path)
@@ -115,11 +123,25 @@ def publish_pair(spark: SparkSession, main: DataFrame, quote: DataFrame, main_pa
     return counts[0], counts[1]
 
 
-def write_reports(rows: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet", "csv", "json")) -> None:
-    """A small table in several formats, a folder each."""
+def _markdown(rows: DataFrame) -> DataFrame:
+    """The rows of a table in Markdown, a line each, its heading first."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit(r"\|")) for c in rows.columns]
+    line = lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", *x), F.lit(" |"))
+    head = rows.sparkSession.range(1).select(F.explode(F.array(F.lit(f"| {' | '.join(rows.columns)} |"), F.lit("|" + " --- |" * len(rows.columns)))).alias("value"))
+    return head.coalesce(1).unionByName(rows.coalesce(1).select(line(cells).alias("value"))).coalesce(1)
+
+
+def write_reports(rows: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet", "csv", "json", "jsonl", "md")) -> None:
+    """A small table in several formats, a folder each; json is one array, jsonl a line per row."""
     for kind in formats:
-        writer = rows.coalesce(1).write.mode("overwrite")
-        (writer.option("header", True) if kind == "csv" else writer).format(kind).save(f"{folder}/{kind}")
+        if kind == "md":
+            out = _markdown(rows)
+        elif kind == "json":
+            out = rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+        else:
+            out = rows.coalesce(1)
+        writer = out.write.mode("overwrite")
+        (writer.option("header", True) if kind == "csv" else writer).format({"md": "text", "json": "text", "jsonl": "json"}.get(kind, kind)).save(f"{folder}/{kind}")
 
 
 class RunState:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeline.functions import market
 from tapeline.sources.sinks import split_messages
@@ -30,7 +32,9 @@ def without_breaks(trades: DataFrame, messages: DataFrame, late: str = "10 minut
     A left join of two streams gives a trade out when its watermark has passed, so a break that
     comes later than that does not reach it; the batch path corrects the day.
     """
-    breaks = timed(messages.filter(F.col("type") == market.BREAK), late)
+    # breaks are rare, so all messages move their watermark: a condition on the time is not pushed below it
+    is_break = F.when(F.col("event_time").isNotNull(), F.col("type") == market.BREAK).otherwise(False)
+    breaks = timed(messages, late).filter(is_break)
     breaks = breaks.select(F.col("symbol").alias("_symbol"), F.col("trade_id").alias("_trade_id"), F.col("event_time").alias("_time"))
     same = (F.col("symbol") == F.col("_symbol")) & (F.col("trade_id") == F.col("_trade_id"))
     near = F.col("_time").between(F.col("event_time"), F.col("event_time") + F.expr(f"interval {late}"))
@@ -50,6 +54,31 @@ def bursts(trades: DataFrame, gap: str = "5 minutes") -> DataFrame:
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "symbol", "trade_count", "share_volume")
 
 
+_LIFE = "symbol string, iex_first_seen string, iex_last_seen string, iex_seen_days int, iex_latest_issuer string, iex_issuer_variant_count int, iex_issuer_variants string"
+
+
+def lifecycles(snapshots: DataFrame) -> DataFrame:
+    """Each symbol's life so far, whenever snapshots add to it: a fold over a stream of symbol, snapshot_date and issuer.
+
+    Snapshots may come late and more than once; a symbol's state holds its days and, of each, the
+    issuer, which are as many as there are snapshots. The output mode is update.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = dict(zip(*state.get, strict=True)) if state.exists else {}
+        for batch in batches:
+            for day, issuer in zip(batch["snapshot_date"], batch["issuer"], strict=True):
+                seen[day] = max(seen.get(day) or "", issuer or "")
+        days = sorted(seen)
+        state.update((days, [seen[d] for d in days]))
+        names = sorted({x for x in seen.values() if x})
+        row = (key[0], days[0], days[-1], len(days), seen[days[-1]], len(names), " | ".join(names))
+        yield pd.DataFrame([row], columns=[c.split()[0] for c in _LIFE.split(", ")])
+
+    rows = snapshots.filter("symbol is not null and snapshot_date is not null").select("symbol", "snapshot_date", "issuer")
+    return rows.groupBy("symbol").applyInPandasWithState(fold, _LIFE, "days array<string>, issuers array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
 def write_parts(messages: DataFrame, folder: str, checkpoint: str, write: Callable[[DataFrame, str], None] | None = None) -> StreamingQuery:
     """Main, quote and unknown messages of a stream, each batch in a folder of its own.
 

@@ -4,6 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from tapeline.operators import listings
 from tapeline.sources import captures, files, sinks
 from tapeline.streaming import trades as stream
 
@@ -193,3 +194,42 @@ def test_stream_parts(spark, tmp_path):
     rows = [("TradeReport", "AAA", DAY, 1, 1.0, 1), ("QuoteUpdate", "AAA", DAY, None, None, None), ("What", "AAA", DAY, None, None, None)]
     stream.write_parts(_stream(spark, tmp_path, rows), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert [spark.read.parquet(str(tmp_path / "out" / p)).count() for p in ("main", "quote", "unknown")] == [1, 1, 1]
+
+
+def test_stream_joins_breaks_and_finds_bursts(spark, tmp_path):
+    minute = 60_000_000_000
+    rows = [("TradeReport", "AAA", DAY, 10, 10.0, 1), ("TradeReport", "AAA", DAY + minute, 5, 10.0, 2), ("TradeReport", "AAA", DAY + 20 * minute, 7, 10.0, 3), ("TradeBreak", "AAA", DAY + 2 * minute, 5, 10.0, 2), ("TradeReport", "ZZZ", DAY + 900 * minute, 1, 1.0, 9)]
+    messages = _stream(spark, tmp_path, rows)
+    got = _drain(stream.without_breaks(stream.distinct_trades(messages), messages), "unbroken").collect()
+    assert {r["trade_id"] for r in got} >= {1, 3} and 2 not in {r["trade_id"] for r in got}
+    got = _drain(stream.bursts(stream.distinct_trades(messages)), "bursts", "complete").filter("symbol = 'AAA'").orderBy("start").collect()
+    assert [(r["trade_count"], r["share_volume"]) for r in got] == [(2, 15), (1, 7)]
+
+
+def test_stream_of_snapshots_folds_into_lifecycles(spark, tmp_path):
+    source, schema = tmp_path / "in", "symbol string, snapshot_date string, issuer string"
+    parts = [[("A", "2020-01-02", "Acme"), ("B", "2020-01-02", None)], [("A", "2020-01-03", "Acme Inc"), ("A", "2020-01-02", "Acme")], [("A", "2020-01-01", ""), (None, "2020-01-01", "x")]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    rows = _drain(stream.lifecycles(stream_in), "lives", "update").collect()
+    last = {}
+    for r in rows:
+        if r["iex_seen_days"] >= last.get(r["symbol"], (0,))[0]:
+            last[r["symbol"]] = tuple(r)[3], tuple(r)
+    assert {k: v[1] for k, v in last.items()} == {"A": ("A", "2020-01-01", "2020-01-03", 3, "Acme Inc", 2, "Acme | Acme Inc"), "B": ("B", "2020-01-02", "2020-01-02", 1, "", 0, "")}
+
+
+def test_reports_letters_and_sidecars(spark, tmp_path):
+    rows = spark.createDataFrame([("abc", 1), ("b|c", None)], "symbol string, n int")
+    sinks.write_reports(rows, str(tmp_path / "r"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "r" / "md")).collect()] == ["| symbol | n |", "| --- | --- |", "| abc | 1 |", "| b\\|c |  |"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "r" / "csv")).count() == spark.read.json(str(tmp_path / "r" / "jsonl")).count() == spark.read.parquet(str(tmp_path / "r" / "parquet")).count() == 2
+    assert spark.read.text(str(tmp_path / "r" / "json")).first()["value"] == '[{"symbol":"abc","n":1},{"symbol":"b|c"}]'
+    sinks.write_by_letter(rows, str(tmp_path / "letters"))
+    assert {(r["letter"], r["symbol"]) for r in spark.read.parquet(str(tmp_path / "letters")).collect()} == {("A", "abc"), ("B", "b|c")}
+    bad = spark.createDataFrame([("d", 1, "x"), ("d", 2, "y"), ("d", 3, "TradeReport")], "day string, timestamp long, type string")
+    assert sinks.write_quarantine(bad, str(tmp_path / "q"), 10, 1) and not sinks.write_quarantine(bad, str(tmp_path / "q"), 10, 2)
+    assert spark.read.parquet(str(tmp_path / "q" / "unknown")).count() == 2
+    shots = spark.createDataFrame([("2020-01-01", "A"), ("2020-01-01", "B"), ("2020-01-02", "A")], "snapshot_date string, symbol string")
+    assert listings.valid_snapshots(shots, 2).count() == 2 and [tuple(r) for r in listings.invalid_snapshots(shots, 2).collect()] == [("2020-01-02", 1)]
