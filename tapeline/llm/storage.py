@@ -1,37 +1,14 @@
-"""Intermediate tables in the folder that the driver and all executors share.
-
-A staged table cuts the lineage and survives the loss of any executor. The folder is the one
-in ``spark.checkpoint.dir``; only a local session that names none (a test) gets a folder of
-its own.
-"""
+"""Staged tables, and the size of the batches that texts are handed over in."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from tapeline.sources.staging import new_path, release, shared_dir, staged  # noqa: F401
 
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this application; raises if a cluster's session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tapeline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tapeline/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """Holds Arrow batches of this session to 8 MB, and returns ``df``.
 
@@ -43,17 +20,3 @@ def small_batches(df: DataFrame) -> DataFrame:
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
     return df
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the staged tables of this application. Results that still read them break."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
