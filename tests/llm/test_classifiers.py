@@ -224,8 +224,10 @@ def test_all_learnable_texts_are_counted_and_many_languages_bounded(spark, docum
         for x, y in zip(a, b, strict=True):
             np.testing.assert_allclose(x, y)
     assert language._sample(df.filter("lang = 'aa' and text is not null").select("lang", "text"), 10).count() == 10
-    monkeypatch.setattr(language, "CELLS", 40)
-    assert len(language.fit(df, F.lit(False)).orders[-1][0]) <= 20
+    monkeypatch.setattr(language, "CELLS", 80)
+    few = language.fit(df, F.lit(False))
+    assert len(few.orders[-1][0]) <= 60 and few.predict(pa.array(["bakruo", "titilm"]))[0].tolist() == ["aa", "bb"]
+    assert [language._cut(np.array([6.0, 3.0, 0.0, 2.0]), k) for k in (20, 11, 8, 5, 4, 1)] == [(0, 1.0), (0, 1.0), (0, 0.5), (1, 1.0), (1, 2 / 3), (3, 0.5)]
 
 
 def test_without_training_texts():
