@@ -60,19 +60,26 @@ def _statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     line_size = np.diff(cuts)
     lines = len(line_size)
     line_row = np.searchsorted(at, cuts[:-1], "right") - 1
-    kind = np.zeros((lines, _KINDS))
-    for a in range(0, lines, 4096):  # whole lines, so that the keys of a block are few
+    total, shares = np.zeros((n, _KINDS)), np.zeros((4, lines))
+    for a in range(0, lines, 4096):  # whole lines, so that the keys of a block are few; their counts are not kept, as lines may be empty
         b = min(lines, a + 4096)
-        key = np.repeat(np.arange(b - a) * _KINDS, line_size[a:b]) + _KIND[data[cuts[a] : cuts[b]]]
-        kind[a:b] = np.bincount(key, minlength=(b - a) * _KINDS).reshape(-1, _KINDS)
-    total = np.stack([_by_row(kind[:, k], line_row, n) for k in range(_KINDS)], 1) if lines else np.zeros((n, _KINDS))
+        kind = np.zeros((b - a, _KINDS))
+        for c in range(cuts[a], cuts[b], 1 << 20):  # lines may be long, too
+            d = min(cuts[b], c + (1 << 20))
+            line = np.searchsorted(cuts, np.arange(c, d), "right") - 1 - a if b - a > 1 else np.zeros(d - c, np.int64)
+            kind += np.bincount(line * _KINDS + _KIND[data[c:d]], minlength=(b - a) * _KINDS).reshape(-1, _KINDS)
+        first = line_row[a]
+        rows = line_row[a:b] - first
+        for k in range(_KINDS):
+            total[first : first + rows[-1] + 1, k] += np.bincount(rows, kind[:, k])
+        share = kind / np.maximum(line_size[a:b], 1)[:, None]
+        shares[:, a:b] = share[:, _SIGNS].sum(1), share[:, 2], share[:, 9], share[:, 3]
     share = total / np.maximum(size, 1)[:, None]
 
     long = line_size >= 24
-    line_share = kind / np.maximum(line_size, 1)[:, None]
-    signs, upper, bars = line_share[:, _SIGNS].sum(1), line_share[:, 2], line_share[:, 9]
-    marks = [_most(x * long, line_row, n) for x in (signs, upper, bars, line_share[:, 3])]
-    loud = [_by_row(line_size * (x > t), line_row, n) / np.maximum(size, 1) for x, t in ((signs, 0.04), (upper, 0.4), (bars, 0.02), (line_share[:, 3], 0.2))]
+    marks = [_most(x * long, line_row, n) for x in shares]
+    loud = [_by_row(line_size * (x > t), line_row, n) / np.maximum(size, 1) for x, t in zip(shares, (0.04, 0.4, 0.02, 0.2), strict=True)]
+    del shares
     line_hash = textbytes.span_hash(data, cuts[:-1], cuts[1:]) ^ textbytes.mix(line_row.astype(np.uint64))
     once, _ = textbytes.distinct(line_hash)
     repeated = 1 - _by_row(line_size[once], line_row[once], n) / np.maximum(size, 1)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -36,6 +37,16 @@ def test_statistics_of_odd_texts_are_finite():
     np.testing.assert_allclose(x, np.stack(alone), rtol=1e-5)
 
 
+@pytest.mark.parametrize("text", ["\n" * 2_000_000, "a\n" * 1_000_000, "x" * 4_000_000])
+def test_statistics_of_many_short_lines_or_a_long_one_take_bounded_memory(text):
+    column = pa.array([text])
+    tracemalloc.start()
+    quality.statistics(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 * len(text)
+
+
 def test_trees_score_as_their_nodes_say():
     texts, y = _quality(1, 300)
     x = quality.statistics(pa.array(texts))
