@@ -241,6 +241,30 @@ def test_all_learnable_texts_are_counted_and_many_languages_bounded(spark, docum
     assert [language._cut(np.array([6.0, 3.0, 0.0, 2.0]), k) for k in (20, 11, 8, 5, 4, 1)] == [(0, 1.0), (0, 1.0), (0, 0.5), (1, 1.0), (1, 2 / 3), (3, 0.5)]
 
 
+@pytest.mark.parametrize(("languages", "cells"), [(2, 1 << 21), (64, 150), (64, 2000)])
+def test_the_query_learns_all_languages_and_5_grams_however_many(spark, tmp_path, monkeypatch, languages, cells):
+    g = random.Random(4)
+    kinds = {"aa": ["ba", "o", "kru", "é"], "bb": ["ti", "lm"], "cc": ["пр", "ов", "и"], "dd": ["xa", "xo"], "ee": ["ba", "ti", "ß"]}
+    texts = [(lang, t) for k, (lang, v) in enumerate(kinds.items()) for t in _languages(g, 30 - 4 * k, v)] + [("ff", "12 34"), ("aa", None), (None, "xaxo bati")]
+    rows = [(k, t, lang) for k, (lang, t) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(language, "LANGUAGES", languages)
+    monkeypatch.setattr(language, "CELLS", cells)
+    got = {r["doc_id"]: r for r in language.op8_language(spark, str(tmp_path)).collect()}
+    learnt = [(t, lang) for k, t, lang in rows if t and lang and zlib.crc32(str(k).encode()) % 3 != 1]
+    local = language.train({n: pa.array([t for t, lang in learnt if lang == n]) for n in sorted({lang for _, lang in learnt})})
+    assert set(kinds) <= set(local.names) and len(got) == len(rows)
+    for k, (lang, score, rejected) in enumerate(zip(*local.predict(pa.array([t for _, t, _ in rows], pa.string())), strict=True)):
+        assert (got[k]["lang_pred"], got[k]["rejected"]) == (lang, rejected)
+        assert got[k]["score"] == pytest.approx(score, rel=1e-3)
+
+
+def test_groups_of_languages_are_bounded(monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    monkeypatch.setattr(language, "CELLS", 100)
+    assert language._groups([10, 10, 10, 10, 0, 250, 60, 1, 0]) == [(0, 2, 1), (3, 4, 1), (5, 5, 3), (6, 6, 1), (7, 8, 1)]
+
+
 def test_without_training_texts():
     models = language.train({})
     assert models.predict(pa.array(["x", None]))[0].tolist() == ["und", "und"]
